@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ravelgrid.llm.common import fold, id_and_text, materialize, shuffle_partitions
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 BUCKETS = 24
 STEPS = 4  # grid steps per factor of two
 RATIO_LEVELS = 30 * STEPS + 2
