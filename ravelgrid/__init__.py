@@ -1,0 +1 @@
+"""Tensor algebra and corpus preparation on Spark DataFrames."""
