@@ -125,18 +125,23 @@ def choose_blocks(a_bytes: int, b_bytes: int, c_bytes: int, fa: int, fb: int, fk
     return best
 
 
+def block_plan(plan: EinsumPlan, a: Tensor, b: Tensor, task_bytes: int = TASK_BYTES) -> BlockPlan:
+    """The block plan for operands whose tiles agree."""
+    grid = dict(zip(plan.b, b.grid)) | dict(zip(plan.a, a.grid))
+    tiles = lambda labels: prod(grid[x] for x in labels)
+    c_bytes = prod(plan.shape_of_c(a.shape, b.shape)) * ELEMENT_BYTES[a.dtype]
+    return choose_blocks(
+        a.dense_bytes, b.dense_bytes, c_bytes, tiles(plan.free_a), tiles(plan.free_b), tiles(plan.contracted), task_bytes,
+        a.df.sparkSession.sparkContext.defaultParallelism,
+    )
+
+
 def _contract_tiles(plan: EinsumPlan, a: Tensor, b: Tensor, shape, task_bytes: int) -> Tensor:
-    spark = a.df.sparkSession
     chunk_of = dict(zip(plan.b, b.chunk)) | dict(zip(plan.a, a.chunk))
     size_of = label_sizes(plan, a.shape, b.shape)
     grid_of = {x: -(-size_of[x] // chunk_of[x]) for x in size_of}
     chunk_c = tuple(chunk_of[x] for x in plan.c)
-    tiles = lambda labels: prod(grid_of[x] for x in labels)
-    c_bytes = prod(shape) * ELEMENT_BYTES[a.dtype]
-    blocks = choose_blocks(
-        a.dense_bytes, b.dense_bytes, c_bytes, tiles(plan.free_a), tiles(plan.free_b), tiles(plan.contracted), task_bytes,
-        spark.sparkContext.defaultParallelism,
-    )
+    blocks = block_plan(plan, a, b, task_bytes)
 
     def number(labels: str, of: str):
         return index.flat_index([F.col(f"t{of.index(x)}") for x in labels], [grid_of[x] for x in labels])
