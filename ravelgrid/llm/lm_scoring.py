@@ -20,7 +20,7 @@ fixed logarithmic grid, whose size does not depend on the corpus; at most
 Edge cases: a null or empty text is the single end token.  A null doc_id falls
 into fold 0 and is carried through.  Repeated rows are counted and scored each.
 An empty table gives an empty result; without training tokens every word gets
-``1/(V+1) = 1``.
+the uniform part's weight.
 """
 
 from __future__ import annotations
@@ -141,10 +141,11 @@ def _block_of(row):
     return _unplanes(row["ids"], np.uint32).astype(np.int64), n, np.array(row["part"], np.int8), np.frombuffer(row["vocab"], np.uint64)
 
 
-def _cuts(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each hash range begins in the sorted hashes."""
-    top = [np.uint64((r << 64) // ranges) for r in range(ranges)]
-    return np.append(np.searchsorted(hashes, np.array(top, np.uint64)), len(hashes))
+def _runs(hashes: np.ndarray, ranges: int):
+    """(range, from, to) of each hash range that the sorted hashes touch."""
+    of = ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    return zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(hashes)])
 
 
 def _items(ranges: int):
@@ -153,14 +154,11 @@ def _items(ranges: int):
             for row in batch.to_pylist():
                 ids, n, part, vocab = _block_of(row)
                 hashes, (kept, gone), is_word, _, _ = _distinct(ids, n, part, vocab)
-                cuts = _cuts(hashes, ranges)
                 out = []
-                for r in range(ranges):
-                    lo, hi = cuts[r], cuts[r + 1]
-                    if hi > lo:
-                        gaps = np.diff(hashes[lo:hi], prepend=np.uint64(0))
-                        packed = np.concatenate([kept[lo:hi], gone[lo:hi], is_word[lo:hi].astype(np.uint32)])
-                        out.append((row["block"], r, _planes(gaps), _squeeze(_planes(packed))))
+                for r, lo, hi in _runs(hashes, ranges):
+                    gaps = np.diff(hashes[lo:hi], prepend=np.uint64(0))
+                    packed = np.concatenate([kept[lo:hi], gone[lo:hi], is_word[lo:hi].astype(np.uint32)])
+                    out.append((row["block"], r, _planes(gaps), _squeeze(_planes(packed))))
                 if out:
                     yield pa.record_batch(
                         [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
