@@ -12,8 +12,8 @@ as word numbers).  Each block sends its *distinct* unigrams and bigrams, as
 sorted 64-bit hashes dealt over hash ranges; each range adds up the counts and
 answers each block.  A very frequent word or pair so arrives once per block,
 not once per token, and a range holds total/parts items whatever the skew.
-Blocks and answers meet by block number, and the counted blocks are written to
-the shared folder.  EM sees a histogram over (bucket, c(vw)/c(v), c(w)) on a
+Blocks are stored in buckets by number, so only the answers travel back to
+them; the counted blocks are written to the shared folder.  EM sees a histogram over (bucket, c(vw)/c(v), c(w)) on a
 fixed logarithmic grid, whose size does not depend on the corpus; at most
 ``CELLS`` rows reach the driver.
 
@@ -31,9 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelgrid.llm.common import fold, id_and_text, materialize, shuffle_partitions
+from ravelgrid.llm.common import fold, id_and_text, materialize, materialize_bucketed, shuffle_partitions
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 BUCKETS = 24
 STEPS = 4  # grid steps per factor of two
 RATIO_LEVELS = 30 * STEPS + 2
@@ -97,7 +97,7 @@ def _encode_blocks(batches):
                     pa.array([ids[start:at]], pa.list_(pa.int64())),
                     pa.array([parts[start:at]], pa.list_(pa.int8())),
                     pa.array([ns], pa.list_(pa.int32())),
-                    pa.array([_planes(np.concatenate(seqs))], pa.binary()),
+                    pa.array([_squeeze(_planes(np.concatenate(seqs)))], pa.binary()),
                     pa.array([vocab.tobytes()], pa.binary()),
                 ],
                 names=["block", "doc_id", "part", "n", "ids", "vocab"],
@@ -138,7 +138,7 @@ def _distinct(ids, n, part, vocab):
 
 def _block_of(row):
     n = np.array(row["n"], np.int64)
-    return _unplanes(row["ids"], np.uint32).astype(np.int64), n, np.array(row["part"], np.int8), np.frombuffer(row["vocab"], np.uint64)
+    return _unplanes(_unsqueeze(row["ids"]), np.uint32).astype(np.int64), n, np.array(row["part"], np.int8), np.frombuffer(row["vocab"], np.uint64)
 
 
 def _runs(hashes: np.ndarray, ranges: int):
@@ -317,7 +317,9 @@ def score_documents(docs: DataFrame, part=None) -> DataFrame:
         five = fold("doc_id", 5)
         part = F.when(five == 1, HELD_OUT).when(five == 4, DELETED).otherwise(RETAINED)
     rows = id_and_text(docs).withColumn("part", part.cast("byte"))
-    blocks = materialize(rows.mapInArrow(_encode_blocks, BLOCK_SCHEMA), "lm-blocks")
+    blocks, name = materialize_bucketed(
+        rows.mapInArrow(_encode_blocks, BLOCK_SCHEMA), "lm-blocks", "block", shuffle_partitions(spark)
+    )
     tokens = blocks.agg(F.sum(F.expr("aggregate(n, 0L, (a, x) -> a + x)"))).first()[0] or 0
     ranges = max(4 * shuffle_partitions(spark), -(-tokens // 2_000_000))
     answers = (
@@ -326,6 +328,7 @@ def score_documents(docs: DataFrame, part=None) -> DataFrame:
     counted = materialize(
         blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_attach, COUNTED_SCHEMA), "lm-counted"
     )
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     row = counted.filter("block = -1").select("v_all", "n_all", "n_ret", "v_ret").first()
     v_all, n_all, n_ret, v_ret = row if row else (0, 0, 0, 0)
     cells = (
