@@ -148,10 +148,16 @@ def _runs(hashes: np.ndarray, ranges: int):
     return zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(hashes)])
 
 
+def _rows(batch):
+    """The rows of a batch one by one: a block at a time is in memory as Python objects."""
+    for i in range(batch.num_rows):
+        yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
 def _items(ranges: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ids, n, part, vocab = _block_of(row)
                 hashes, (kept, gone), is_word, _, _ = _distinct(ids, n, part, vocab)
                 out = []
@@ -252,7 +258,7 @@ def _attach(left: pa.Table, right: pa.Table) -> pa.Table:
     ratio = _grid(np.where(r2 > 0, r2 / np.maximum(ctx, 1) * 2.0**30, 0), RATIO_LEVELS)
     cell = (bucket_of(ctx) * RATIO_LEVELS + ratio) * COUNT_LEVELS + _grid(r1, COUNT_LEVELS)
     cells, cell_n = np.unique(cell, return_counts=True)
-    values = [row["block"], row["doc_id"], row["part"], row["n"], _planes(c1), _planes(c2), cells.tolist(), cell_n.tolist(), 0, 0, 0, 0]
+    values = [row["block"], row["doc_id"], row["part"], row["n"], _squeeze(_planes(c1)), _squeeze(_planes(c2)), cells.tolist(), cell_n.tolist(), 0, 0, 0, 0]
     return pa.table([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
 
@@ -279,10 +285,10 @@ def learn_weights(cell: np.ndarray, count: np.ndarray, n_ret: int, v_ret: int, r
 def _score_blocks(weights: np.ndarray, v_all: int, n_all: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 n = np.array(row["n"], np.int64)
-                c1 = _unplanes(row["c1"], np.uint64).astype(np.float64)
-                c2 = _unplanes(row["c2"], np.uint64).astype(np.float64)
+                c1 = _unplanes(_unsqueeze(row["c1"]), np.uint64).astype(np.float64)
+                c2 = _unplanes(_unsqueeze(row["c2"]), np.uint64).astype(np.float64)
                 starts = np.cumsum(n) - n
                 ctx = np.empty_like(c1)
                 ctx[1:] = c1[:-1]

@@ -88,3 +88,46 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
 def test_empty_table(spark):
     assert simhash.near_duplicates(C.frame(spark, [])).collect() == []
     assert simhash.one_of_each(C.frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_buckets_do_not_depend_on_batches(size):
+    """Links within buckets, and which members go to the second index, whatever the batches are."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = []
+    for key in range(40):
+        centre = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 2, 3, 5, 6, 9, 14])):
+            f = centre
+            for b in rng.sample(range(64), rng.randint(0, 2)):
+                f ^= 1 << b
+            rows.append((key, f))
+    keys = np.array([k for k, _ in rows], np.int64)
+    fps = np.array([f for _, f in rows], np.uint64).view(np.int64)
+    batches = [pa.record_batch([pa.array(keys[i : i + size]), pa.array(fps[i : i + size])], names=["key", "fp"]) for i in range(0, len(rows), size)]
+    out = [r for b in simhash._buckets(2, 5)(iter(batches)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    members = {}
+    for k, f in zip(keys.tolist(), fps.tolist()):
+        members.setdefault(k, []).append(f)
+    dense = {f for m in members.values() if len(m) > 5 for f in m}
+    assert {a for a, b in out if b is None} == dense
+    links = [(a, b) for a, b in out if b is not None]
+    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 2 for a, b in links)
+    for m in members.values():
+        if len(m) <= 5:
+            want = components([(i, f & (2**64 - 1)) for i, f in enumerate(m)])
+            parent = {f: f for f in m}
+
+            def root(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in links:
+                if a in parent and b in parent:
+                    parent[root(a)] = root(b)
+            got = [root(f) for f in m]
+            assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(m)) for j in range(i))
