@@ -13,7 +13,8 @@ Scoring uses every passage of every text.
 
 Defined results: a text without words (null, empty) is one passage of zeros.
 No labels at all: every score is 0.5.  A null doc_id falls into fold 0
-(held out).  Labels repeated for an id count once each.
+(held out).  Of rows that share an id one is learnt from; an id with both labels
+counts for both.
 """
 
 from __future__ import annotations
@@ -152,10 +153,17 @@ def _encode(batches):
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train=None, max_fit: int = MAX_FIT):
-    """Fit on at most ``max_fit`` labelled documents where ``train`` holds (default: fold is not 0 of 5)."""
+    """Fit on at most ``max_fit`` labelled documents; ``train`` is a condition on doc_id (default: fold is not 0 of 5).
+
+    Labels that fail the condition are not looked at, not even counted.  The
+    sample has as many of either label as there are, up to half each; the
+    shares of the labels enter as the intercept, so scores are probabilities.
+    """
     train = fold("doc_id", 5) != 0 if train is None else train
-    marks = labels.select(F.col("doc_id").alias("lab_id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
-    marks = marks.filter("lab_id is not null").withColumn("k", F.pmod(F.xxhash64("lab_id"), F.lit(1 << 30)))
+    marks = labels.filter(train & F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("lab_id"), F.col(label_col).cast("int").alias("y")
+    ).filter("y in (0, 1)")
+    marks = marks.withColumn("k", F.pmod(F.xxhash64("lab_id"), F.lit(1 << 30)))
     total = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     if not total:
         return None
@@ -165,13 +173,16 @@ def fit_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
         keep = keep | ((F.col("y") == y) & (F.col("k") < int(min(1.0, each / n) * (1 << 30))))
     # about max_fit labels, a bounded number of small rows: broadcast
     chosen = F.broadcast(marks.filter(keep).orderBy("k", "lab_id", "y").limit(max_fit).select("lab_id", "y"))
-    rows = docs.filter(train).select(F.col("doc_id").cast("long").alias("lab_id"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = rows.join(chosen, "lab_id").select("y", "text")
-    got = joined.mapInArrow(_encode, "y int, x binary, n int").limit(2 * max_fit).collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("lab_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # rows that share an id count once, so no more than max_fit bags are collected
+    joined = rows.join(chosen, "lab_id").dropDuplicates(["lab_id", "y"]).select("y", "text")
+    got = joined.mapInArrow(_encode, "y int, x binary, n int").collect()
     if not got:
         return None
     x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in got]).astype(np.float64)
-    return Attention().fit(x, [r["n"] for r in got], [r["y"] for r in got])
+    model = Attention().fit(x, [r["n"] for r in got], [r["y"] for r in got])
+    model.p["b"] = model.p["b"] + np.log((total.get(1, 0) + 0.5) / (total.get(0, 0) + 0.5))
+    return model
 
 
 def _scores_of(model, texts) -> np.ndarray:
