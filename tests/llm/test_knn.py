@@ -43,3 +43,35 @@ def test_large_components_and_few_rows(spark):
     assert knn.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     assert knn.top_k(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")).collect() == []
     assert knn.top_k(spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<double>")).collect() == []
+
+
+def test_far_cells_are_not_replicated():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    near, far = rng.normal(0, 1, (200, 4)), rng.normal(0, 1, (200, 4))
+    near[:, 0] += 50
+    far[:, 0] -= 50
+    x = np.vstack([near, far])
+    top = float(np.sqrt((x * x).sum(1).max()))
+    pick = x[[0, 50, 250, 300]]
+    cells = knn.Cells(np.hstack([pick, np.sqrt(np.maximum(top**2 - (pick * pick).sum(1), 0))[:, None]]), top, 4)
+    cell, dist = cells.assign(x, query=False)
+    nearest = {int(c): sorted(dist[cell == c])[:4] for c in np.unique(cell)}
+    q_cell, q_dist = cells.assign(near[:5], query=True)
+    cells.bound(3, nearest, {int(c): float(q_dist[q_cell == c].max()) for c in np.unique(q_cell)}, {int(c): int((q_cell == c).sum()) for c in np.unique(q_cell)}, 100)
+    want = cells.wanted(cell, dist).any(axis=1)
+    assert not want[200:].any()
+    for q in near[:5]:
+        best = np.argsort(-(x @ q), kind="stable")[:4]
+        assert want[best].all()
+
+
+def test_other_columns_do_no_harm(spark):
+    from pyspark.sql import functions as F
+
+    data = rows(random.Random(5), 300, False)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for c in ("score", "rank", "uid", "v", "query_id", "grp", "salt", "cell"):
+        df = df.withColumn(c, F.lit("x"))
+    assert sorted(tuple(r) for r in knn.top_k(df).collect()) == brute(data)
