@@ -23,7 +23,6 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ravelgrid.llm.common import id_and_text
 
