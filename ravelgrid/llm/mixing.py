@@ -1,38 +1,41 @@
 """Mixing sources to target weights by Pfair scheduling (operator 10, native).
 
 Documents of a source are numbered and cut into blocks of ``block_docs``.
-Slots follow one another, one block each.  With weight ``w = n/Q`` a source's
+Slots follow one another, one block each.  With weight ``w`` a source's
 ``i``-th block (from 0) is released at slot ``floor(i/w)`` and due at slot
 ``ceil((i+1)/w)``; earliest deadline first among released blocks meets all
 deadlines, so after any number of slots a source is less than one block off its
-weight.  As weights are multiples of ``1/Q``, the schedule repeats every ``Q``
-slots: only one period is computed, and block ``i`` of a source goes to slot
-``(i div n) Q + place[i mod n]``.  When a source runs out, a new phase starts
-in which the others share in the same proportion, so every row gets a slot.
+weight.  Weights are taken to ``1/PERIOD = 2^-48``, far below a block at any
+number of slots, and the schedule is made for every slot of the table.  When a
+source runs out, a new phase starts in which the others share in the same
+proportion, so every row gets a slot.
 
 On the executors this is SQL: numbering within (source, salt), prefix sums over
-salts, so a hot source spreads over tasks, and arithmetic on a broadcast row
-per source.  The driver computes periods from one count per source; sources are
+salts, so a hot source spreads over tasks, and a broadcast join with the slots,
+``CHUNK`` blocks a row.  The driver needs one count per source and holds one
+number per block, that is 4 bytes for ``block_docs`` documents; sources are
 configuration and may be at most ``max_sources`` (an error says so otherwise).
 
 Defined results: a null source is a source of its own.  Sources without a
-given weight share the mean of those given.  Ties of repeated rows are broken by
+given weight share the mean of those given; sources of weight 0 come after all
+others, in equal shares; a negative weight is an error.  Ties of repeated rows are broken by
 all columns' hash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelgrid.llm.common import shuffle_partitions
 
 BLOCK_DOCS = 16
-PERIOD = 1000
+PERIOD = 1 << 48
+CHUNK = 1024
 MAX_SOURCES = 2000
 _NONE = "\0none"
 
@@ -55,44 +58,45 @@ def integer_shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return parts
 
 
-def one_period(parts: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, earliest deadline first."""
-    period = sum(parts.values())
-    released: list[list[tuple[int, str, int]]] = [[] for _ in range(period)]
-    for s, n in parts.items():
-        for i in range(n):
-            released[i * period // n].append((-(-(i + 1) * period // n), s, i))
+def schedule(parts: Mapping[str, int], blocks: Mapping[str, int]) -> dict[str, list[int]]:
+    """Slots of each source's blocks, earliest deadline first, up to the first source's last block."""
+    q = sum(parts.values())
+    waiting = [(0, s, 0) for s in parts]
+    heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     places: dict[str, list[int]] = {s: [] for s in parts}
-    for t in range(period):
-        for job in released[t]:
-            heapq.heappush(ready, job)
-        due, s, _ = heapq.heappop(ready)
+    t = 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            _, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * q // parts[s]), s, i))
+        due, s, i = heapq.heappop(ready)
         if due <= t:
             raise AssertionError("weights that sum to one always meet their deadlines")
         places[s].append(t)
-    return places
+        if i + 1 == blocks[s]:
+            return places
+        heapq.heappush(waiting, ((i + 1) * q // parts[s], s, i + 1))
+        t += 1
 
 
 def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[dict]:
-    """Rows (source, lo, hi, slot0, n, q, place): blocks lo..hi-1 of the source follow this period from slot0."""
+    """Rows (source, lo, hi, slot0, n, q, place): blocks lo..hi-1 of the source have these places from slot0; its weight is n/q."""
     left = {s: n for s, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
     slot0, out = 0, []
     while left:
-        parts = integer_shares({s: weights[s] for s in left}, period) if len(left) > 1 else {next(iter(left)): 1}
-        places, q = one_period(parts), sum(parts.values())
-        end = min(((n - 1) // parts[s]) * q + places[s][(n - 1) % parts[s]] for s, n in left.items()) + 1
-        full, rest = divmod(end, q)
-        for s in list(left):
-            got = full * parts[s] + sum(p < rest for p in places[s])
-            if got:
-                out.append({"source": s, "lo": done[s], "hi": done[s] + got, "slot0": slot0, "n": parts[s], "q": q, "place": places[s]})
+        share = {s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1.0)
+        parts = integer_shares(share, period) if len(share) > 1 else {next(iter(share)): 1}
+        places, q = schedule(parts, left), sum(parts.values())
+        for s, place in places.items():
+            if got := len(place):
+                out.append({"source": s, "lo": done[s], "hi": done[s] + got, "slot0": slot0, "n": parts[s], "q": q, "place": place})
             done[s] += got
             left[s] -= got
             if not left[s]:
                 del left[s]
-        slot0 += end
+        slot0 += sum(map(len, places.values()))
     return out
 
 
@@ -125,16 +129,16 @@ def interleave(
     else:
         given = {(_NONE if s is None else s): w for s, w in weights.items()}
         mean = sum(given.values()) / max(1, len(given)) or 1.0
-        target = {s: given.get(s) or mean for s in counts}
+        if min(given.values(), default=0) < 0:
+            raise ValueError("a weight is negative")
+        target = {s: given.get(s, mean) for s in counts}
     plan = phases({s: -(-n // block_docs) for s, n in counts.items()}, target, period)
-    by_source: dict[str, list] = {}
+    slots: dict[str, list[int]] = {}
     for p in plan:
-        by_source.setdefault(p["source"], []).append({k: v for k, v in p.items() if k != "source"})
-    phase_type = "array<struct<lo:bigint,hi:bigint,slot0:bigint,n:bigint,q:bigint,place:array<bigint>>>"
-    # a row per source, made from one literal
-    table = spark.range(1).select(
-        F.explode(F.from_json(F.lit(json.dumps([{"s": s, "p": p} for s, p in by_source.items()])), f"array<struct<s:string,p:{phase_type}>>")).alias("x")
-    ).select(F.col("x.s").alias("__source"), F.col("x.p").alias("__phases"))
+        slots.setdefault(p["source"], []).extend(p["slot0"] + t for t in p["place"])
+    chunks = [(s, lo // CHUNK, at[lo : lo + CHUNK]) for s, at in slots.items() for lo in range(0, len(at), CHUNK)]
+    types = {"__source": pa.string(), "__chunk": pa.int64(), "__slots": pa.list_(pa.int32())}
+    table = spark.createDataFrame(pa.table([pa.array([c[k] for c in chunks], t) for k, t in enumerate(types.values())], names=list(types)))
     within = Window.partitionBy("__source", "__salt").orderBy("__h", "doc_id", "__tie")
     rank = F.col("__row") - 1 + F.col("__base")
     placed = (
@@ -142,14 +146,12 @@ def interleave(
         .join(bases, ["__source", "__salt"])
         .withColumn("__rank", rank)
         .withColumn("__block", F.floor(F.col("__rank") / block_docs))
-        .join(F.broadcast(table), "__source")
+        .withColumn("__chunk", F.floor(F.col("__block") / CHUNK))
+        .join(F.broadcast(table), ["__source", "__chunk"])
     )
-    phase = F.filter("__phases", lambda p: (p["lo"] <= F.col("__block")) & (F.col("__block") < p["hi"]))[0]
-    i = F.col("__block") - F.col("__p.lo")
-    slot = F.col("__p.slot0") + F.floor(i / F.col("__p.n")) * F.col("__p.q") + F.element_at("__p.place", (i % F.col("__p.n") + 1).cast("int"))
+    slot = F.element_at("__slots", (F.col("__block") % CHUNK + 1).cast("int"))
     return (
-        placed.withColumn("__p", phase)
-        .withColumn("__slot", slot.cast("long"))
+        placed.withColumn("__slot", slot.cast("long"))
         .withColumn("__position", F.col("__slot") * block_docs + F.col("__rank") % block_docs)
         .select(*[docs[c] for c in docs.columns], "__block", "__slot", "__position")
     )

@@ -52,3 +52,25 @@ def test_defined_cases(spark):
         mixing.interleave(C.frame(spark), max_sources=2)
     plan = mixing.interleave(C.frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 2**0.5, "b": 3**0.5, "c": 1e-4, "d": 0.37}])
+def test_long_schedules_stay_within_one_block_of_the_weights_as_given(weights):
+    plan = mixing.phases(dict.fromkeys(weights, 20_000), weights)
+    first = {p["source"]: p for p in plan if p["slot0"] == 0}
+    total = sum(weights.values())
+    end = sum(p["hi"] for p in first.values())
+    assert end > 20_000
+    owner = {t: s for s, p in first.items() for t in p["place"]}
+    seen = Counter()
+    for t in range(end):
+        seen[owner[t]] += 1
+        assert all(abs(seen[s] - w / total * (t + 1)) < 1 + 1e-6 for s, w in weights.items())
+
+
+def test_weight_zero_comes_last(spark):
+    got = mixing.interleave(C.frame(spark), {"hot": 0.0, "s1": 1.0}, block_docs=4).collect()
+    hot = [r["__slot"] for r in got if r.source == "hot"]
+    assert min(hot) > max(r["__slot"] for r in got if r.source != "hot")
+    with pytest.raises(ValueError):
+        mixing.interleave(C.frame(spark), {"hot": -1.0})
