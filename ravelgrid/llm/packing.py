@@ -15,6 +15,11 @@ numbers within the salt), so a hot length spreads over tasks, and a number
 falls into one interval of one filling: sequence and offset follow by
 arithmetic from a broadcast table of at most (fillings x lengths) rows.
 
+With ``order`` (a column of unique numbers) pieces of one length are handed out
+in that order, salts being ranges of it, and sequences are numbered by the
+earliest number in them, so the sequences follow the order of the documents as
+far as the fillings allow.
+
 Edge cases: null and empty texts are the end id alone (length 1).  Repeated
 rows and null ids are packed like any other row.  An empty table gives none.
 """
@@ -32,11 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelgrid.llm.common import id_and_text, materialize
+from ravelgrid.llm.common import materialize
 
 CAPACITY = 2048
 END_ID = 0
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
+PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int, position long"
+ORDER_RANGES = 256
 
 
 def default_tokenizer() -> str:
@@ -172,13 +178,14 @@ def _pieces(path: str, capacity: int):
         salt = TaskContext.get().partitionId()
         for batch in batches:
             out = []
-            for doc_id, encoded in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist())):
+            rows = zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist()), batch.column(2).to_pylist())
+            for doc_id, encoded, position in rows:
                 ids = np.append(encoded, np.uint32(END_ID)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     some = ids[start : start + capacity]
-                    out.append((doc_id, k, start, len(some), zlib.crc32(some.tobytes()), salt))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]
+                    out.append((doc_id, k, start, len(some), zlib.crc32(some.tobytes()), salt, position))
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "position"]
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
@@ -300,11 +307,48 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -
     return min(candidate, plain, key=lambda fs: sum(n for _, n in fs))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, order: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; ``order``: see above."""
     path = tokenizer or default_tokenizer()
-    pieces = materialize(id_and_text(docs).mapInArrow(_pieces(path, capacity), PIECE_SCHEMA), "pieces")
-    return place(pieces, capacity)
+    position = F.lit(None).cast("long") if order is None else F.col(order).cast("long")
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        position.alias("position"),
+    )
+    pieces = materialize(texts.mapInArrow(_pieces(path, capacity), PIECE_SCHEMA), "pieces")
+    if order is None:
+        return place(pieces, capacity).drop("position")
+    placed = materialize(place(_salted(pieces), capacity), "pieces-placed")
+    return _by_earliest(placed)
+
+
+def _range_of(position: str, last: int):
+    """Which of ``ORDER_RANGES`` equal ranges of 0..last holds the number."""
+    return F.floor(F.col(position) * ORDER_RANGES / (last + 1)).cast("int")
+
+
+def _salted(pieces: DataFrame) -> DataFrame:
+    last = pieces.agg(F.max("position")).first()[0] or 0
+    return pieces.withColumn("salt", _range_of("position", last))
+
+
+def _by_earliest(placed: DataFrame) -> DataFrame:
+    """Sequences numbered anew by the earliest position in them; ranges of positions spare a global window."""
+    last = placed.agg(F.max("position")).first()[0] or 0
+    firsts = placed.groupBy("sequence_id").agg(F.min(F.struct("position", "piece")).alias("first"))
+    firsts = firsts.withColumn("part", _range_of("first.position", last))
+    sizes = firsts.groupBy("part").count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # ORDER_RANGES rows
+    bases = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("part").orderBy("first", "sequence_id")
+    numbers = (
+        firsts.withColumn("r", F.row_number().over(within) - 1)
+        .join(F.broadcast(bases), "part")
+        .select("sequence_id", (F.col("r") + F.col("base")).cast("long").alias("number"))
+    )
+    return placed.join(numbers, "sequence_id").select(
+        "doc_id", "piece", "start", "length", "ids_crc32", F.col("number").alias("sequence_id"), "offset"
+    )
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -326,7 +370,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         next_sequence += times
     plan = spark.createDataFrame(rows, "length long, lo long, hi long, k long, sequence long, at long")
     slots = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "k", "sequence", "at"))).alias("slots"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy("position", "doc_id", "piece", "start", "ids_crc32")
     numbered = (
         pieces.withColumn("r", F.row_number().over(within) - 1)
         .join(bases, ["length", "salt"])
@@ -339,4 +383,5 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("s.sequence") + F.floor(step / F.col("s.k"))).cast("long").alias("sequence_id"),
         (F.col("s.at") + (step % F.col("s.k")) * F.col("length")).cast("long").alias("offset"),
+        "position",
     )

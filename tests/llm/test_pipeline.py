@@ -27,3 +27,16 @@ def test_empty_documents(spark, tmp_path):
     C.frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_sequences_follow_the_source_schedule(spark, tmp_path):
+    """Sources of consecutive sequences have their weights, though ids go by source."""
+    rows = [(i, " ".join(["word"] * (9 + i % 3)), "en", "abc"[i // 1600], 50) for i in range(4800)]
+    stage = dict(corpus_pipeline.STAGES)["best_fit_packing"]
+    got = stage(spark, C.frame(spark, rows), str(tmp_path)).collect()
+    assert len(got) == 4800
+    order = sorted(got, key=lambda r: (r.sequence_id, r.offset))
+    assert sorted({r.sequence_id for r in got}) == list(range(1 + order[-1].sequence_id))
+    for lo in range(0, 4800, 400):
+        some = [r.doc_id // 1600 for r in order[lo : lo + 400]]
+        assert all(abs(some.count(k) / 400 - 1 / 3) < 0.1 for k in range(3))
