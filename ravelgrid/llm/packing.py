@@ -2,18 +2,15 @@
 
 Documents become token ids (plus one end id) and are cut only if longer than a
 sequence.  Only the *length histogram* (at most ``capacity`` entries) reaches
-the driver.  There the configuration LP -- minimise the number of sequences
-such that every length is covered, one variable per way of filling a sequence
--- is solved by multiplicative weights: lengths carry prices that fall as they
-are covered, and a knapsack dynamic programme over the capacity finds the most
-valuable filling at the current prices.  The fractional solution is rounded
-down and the bounded remainder is filled by best fit decreasing.
-
-The result is a list of fillings with multiplicities.  Pieces of one length
-are numbered over the whole table (counts per length and salt, prefix sums,
-numbers within the salt), so a hot length spreads over tasks, and a number
-falls into one interval of one filling: sequence and offset follow by
-arithmetic from a broadcast table of at most (fillings x lengths) rows.
+the driver, where ``fillings.solve`` turns the configuration linear program
+into fillings of a sequence with multiplicities.
+
+Pieces of one length are numbered over the whole table (counts per length and
+salt, prefix sums, numbers within the salt), so a hot length spreads over
+tasks, and a number falls into one interval of one filling: sequence and offset
+follow by arithmetic from a broadcast table of the fillings, whose size depends
+on the number of lengths only.  A length's intervals lie in two levels of
+``SLOTS`` each, so a lookup reads few of them.
 
 With ``order`` (a column of unique numbers) pieces of one length are handed out
 in that order, salts being ranges of it, and sequences are numbered by the
@@ -37,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravelgrid.llm import fillings
 from ravelgrid.llm.common import materialize
 
 CAPACITY = 2048
 END_ID = 0
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int, position long"
 ORDER_RANGES = 256
+SLOTS = 64
 
 
 def default_tokenizer() -> str:
@@ -102,9 +101,10 @@ class CachedEncoder:
             encs = self.tok.encode_batch_fast(texts, add_special_tokens=False)
             ids = np.fromiter(chain.from_iterable(e.ids for e in encs), np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1  # the last id of each word
-            if len(ends) != len(at):
-                raise AssertionError("a plain word is not one piece for this tokenizer")
-            self._keep(at, ids, np.diff(ends, prepend=0))
+            if len(ends) == len(at):
+                self._keep(at, ids, np.diff(ends, prepend=0))
+            else:  # this tokenizer cuts some plain word into several pieces: these words one by one
+                self._keep_each(at, new)
         if len(marked):
             size = self.size[core] + 1
             ends = np.cumsum(size)
@@ -118,10 +118,7 @@ class CachedEncoder:
         rest[place] = False
         rest = np.flatnonzero(rest)
         for lo in range(0, len(rest), 20_000):
-            at = rest[lo : lo + 20_000]
-            encs = self.tok.encode_batch_fast([new[i] for i in at], add_special_tokens=False)
-            got = [e.ids for e in encs]
-            self._keep(at, np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+            self._keep_each(rest[lo : lo + 20_000], new)
         self.known = len(self.number)
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
@@ -131,6 +128,10 @@ class CachedEncoder:
         total = int(ends[-1]) if len(ends) else 0
         return self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)]
 
+    def _keep_each(self, at: np.ndarray, new: list[str]):
+        got = [e.ids for e in self.tok.encode_batch_fast([new[i] for i in at], add_special_tokens=False)]
+        self._keep(at, np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+
     def _keep(self, at: np.ndarray, ids: np.ndarray, size: np.ndarray):
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
@@ -192,121 +193,6 @@ def _pieces(path: str, capacity: int):
     return run
 
 
-def best_filling(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """Unbounded knapsack: the most valuable multiset of lengths that fits."""
-    value = np.zeros(capacity + 1)
-    take = np.full(capacity + 1, -1, np.int64)
-    for room in range(int(lengths[0]), capacity + 1):
-        n = np.searchsorted(lengths, room, side="right")
-        got = value[room - lengths[:n]] + prices[:n]
-        best = int(got.argmax())
-        if got[best] > value[room - 1]:
-            value[room], take[room] = got[best], best
-        else:
-            value[room], take[room] = value[room - 1], -1
-    filling: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if take[room] < 0:
-            room -= 1
-            continue
-        length = int(lengths[take[room]])
-        filling[length] = filling.get(length, 0) + 1
-        room -= length
-    return float(value[capacity]), filling
-
-
-def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit decreasing on a histogram: sequences alike are filled together."""
-    groups: dict[tuple, int] = {}  # (room, filling) -> how many
-    by_room: list[dict[tuple, int]] = [dict() for _ in range(capacity + 1)]
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
-        room = length
-        while left > 0 and room <= capacity:
-            if not by_room[room]:
-                room += 1
-                continue
-            filling, n = next(iter(by_room[room].items()))
-            fit = room // length
-            full, part = divmod(left, fit)
-            used = min(n, full)
-            if used:
-                k = fit
-            else:
-                used, k = 1, part
-            del by_room[room][filling]
-            if n > used:
-                by_room[room][filling] = n - used
-            now = (*filling, (length, k))
-            by_room[room - k * length][now] = by_room[room - k * length].get(now, 0) + used
-            left -= used * k
-        if left:
-            fit = capacity // length
-            full, part = divmod(left, fit)
-            for n, k in ((full, fit), (1 if part else 0, part)):
-                if n and k:
-                    now = ((length, k),)
-                    rest = by_room[capacity - k * length]
-                    rest[now] = rest.get(now, 0) + n
-    for rooms in by_room:
-        for filling, n in rooms.items():
-            groups[filling] = groups.get(filling, 0) + n
-    return [(dict(f), n) for f, n in groups.items()]
-
-
-def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -> list[tuple[dict[int, int], int]]:
-    """Fillings with multiplicities that hold exactly ``counts``; size does not depend on the counts.
-
-    Multiplicative weights in the covering form: each round buys the filling
-    that is best at the current prices, as much of it as covers the first of
-    its lengths by a small share; prices of what was bought fall.
-    """
-    counts = {int(k): int(v) for k, v in counts.items() if v > 0}
-    out = []
-    if capacity in counts:
-        out.append(({capacity: 1}, counts.pop(capacity)))
-    if not counts:
-        return out
-    lengths = np.array(sorted(counts), np.int64)
-    need = np.array([counts[int(k)] for k in lengths], np.float64)
-    place = {int(k): i for i, k in enumerate(lengths)}
-    bought: dict[tuple, float] = {}
-    # price of one piece: starts as its length's share, falls exponentially with the covered share
-    covered = np.zeros(len(lengths))
-    eta = max(4.0, np.log(len(lengths) + 1) * 2)
-    for _ in range(rounds):
-        behind = np.exp(-eta * (covered - covered.min()))
-        open_ = covered < 1.0
-        if not open_.any():
-            break
-        prices = np.where(open_, behind, 0.0) * lengths / capacity
-        _, filling = best_filling(lengths, prices, capacity)
-        idx = np.array([place[k] for k in filling])
-        per = np.array([filling[int(lengths[i])] for i in idx], np.float64)
-        amount = float(np.min(np.maximum(need[idx] * (1 - covered[idx]), 0) / per))
-        step = float(np.min(need[idx] / per)) * 0.25
-        buy = max(min(amount, step), 0.0)
-        if buy <= 0:
-            covered[idx] = np.maximum(covered[idx], 1.0)
-            continue
-        covered[idx] += buy * per / need[idx]
-        covered[covered > 1 - 1e-9] = 1.0
-        key = tuple(sorted(filling.items()))
-        bought[key] = bought.get(key, 0.0) + buy
-    rest = dict(counts)
-    for key, amount in sorted(bought.items(), key=lambda x: -x[1]):
-        whole = min([int(amount + 1e-9), *(rest[k] // n for k, n in key)])
-        if whole > 0:
-            out.append((dict(key), whole))
-            for k, n in key:
-                rest[k] -= n * whole
-    left = {k: n for k, n in rest.items() if n}
-    candidate = out + best_fit_decreasing(left, capacity)
-    plain = best_fit_decreasing(counts, capacity) + ([({capacity: 1}, out[0][1])] if out and out[0][0] == {capacity: 1} else [])
-    return min(candidate, plain, key=lambda fs: sum(n for _, n in fs))
-
-
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, order: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; ``order``: see above."""
     path = tokenizer or default_tokenizer()
@@ -351,6 +237,30 @@ def _by_earliest(placed: DataFrame) -> DataFrame:
     )
 
 
+def _slots(spark, filled: list[tuple[dict[int, int], int]]) -> DataFrame:
+    """(length, slots): which numbers of a length's pieces go to which sequences, in blocks of ``SLOTS`` intervals."""
+    given: dict[int, int] = defaultdict(int)
+    of: dict[int, list[dict]] = defaultdict(list)
+    sequence = 0
+    for filling, times in filled:
+        at = 0
+        for length in sorted(filling, reverse=True):
+            k = filling[length]
+            lo, hi = given[length], given[length] + k * times
+            given[length] = hi
+            of[length].append({"lo": lo, "hi": hi, "k": k, "sequence": sequence, "at": at})
+            at += k * length
+        sequence += times
+    rows = []
+    for length, own in of.items():
+        blocks = [own[i : i + SLOTS] for i in range(0, len(own), SLOTS)]
+        rows.append({"length": length, "slots": [{"lo": b[0]["lo"], "hi": b[-1]["hi"], "slots": b} for b in blocks]})
+    number = pa.int64()
+    one = pa.struct([(c, number) for c in ("lo", "hi", "k", "sequence", "at")])
+    block = pa.struct([("lo", number), ("hi", number), ("slots", pa.list_(one))])
+    return spark.createDataFrame(pa.Table.from_pylist(rows, pa.schema([("length", number), ("slots", pa.list_(block))])))
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Sequences and offsets for written pieces (PIECE_SCHEMA)."""
     spark = pieces.sparkSession
@@ -358,18 +268,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_salt.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     histogram = {r["length"]: r["n"] for r in per_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    rows, given, next_sequence = [], {}, 0
-    for filling, times in solve(histogram, capacity):
-        offset = 0
-        for length in sorted(filling, reverse=True):
-            k = filling[length]
-            first = given.get(length, 0)
-            given[length] = first + k * times
-            rows.append((length, first, first + k * times, k, next_sequence, offset))
-            offset += k * length
-        next_sequence += times
-    plan = spark.createDataFrame(rows, "length long, lo long, hi long, k long, sequence long, at long")
-    slots = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "k", "sequence", "at"))).alias("slots"))
+    slots = _slots(spark, fillings.solve(histogram, capacity).fillings)
     within = Window.partitionBy("length", "salt").orderBy("position", "doc_id", "piece", "start", "ids_crc32")
     numbered = (
         pieces.withColumn("r", F.row_number().over(within) - 1)
@@ -377,9 +276,11 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .withColumn("r", F.col("r") + F.col("base"))
         .join(F.broadcast(slots), "length")
     )
-    slot = F.filter("slots", lambda s: (s["lo"] <= F.col("r")) & (F.col("r") < s["hi"]))[0]
+    def holding(intervals):
+        return F.filter(intervals, lambda s: (s["lo"] <= F.col("r")) & (F.col("r") < s["hi"]))[0]
+
     step = F.col("r") - F.col("s.lo")
-    return numbered.withColumn("s", slot).select(
+    return numbered.withColumn("s", holding(holding("slots")["slots"])).select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("s.sequence") + F.floor(step / F.col("s.k"))).cast("long").alias("sequence_id"),
         (F.col("s.at") + (step % F.col("s.k")) * F.col("length")).cast("long").alias("offset"),
