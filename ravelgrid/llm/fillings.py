@@ -5,8 +5,7 @@ one variable per filling, its number of sequences, and one row per length: all
 pieces of that length must be covered; the sum of the variables is minimal.
 
 ``relax`` solves it by multiplicative weights.  A piece's price is multiplied
-up by its length's arrears (the share that should be covered by now, less the
-share that is), and a knapsack dynamic programme gives the value of every room
+up by ``SLACK`` for each round by which its length is in arrears, and a knapsack dynamic programme gives the value of every room
 at these prices.  A round buys, for each length in arrears, a filling around it
 whose value is within ``SLACK`` of the best, and no more than the round's share
 of any length; the last round covers what is left whatever its value.  Prices
@@ -29,8 +28,7 @@ import numpy as np
 
 Filling = dict[int, int]
 SLACK = 0.02
-ROUNDS = 16
-GROWTH = 0.3
+ROUNDS = (16, 200)  # fewer where there are many lengths, as a round's work grows with them
 
 
 class Relaxed(NamedTuple):
@@ -123,8 +121,9 @@ def first_prices(need: np.ndarray) -> np.ndarray:
     return np.where(need > 0, prices, 0.0)
 
 
-def relax(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, growth: float = GROWTH) -> Relaxed:
+def relax(counts: dict[int, int], capacity: int, rounds: int | None = None) -> Relaxed:
     """The linear program by multiplicative weights."""
+    rounds = rounds or min(max(ROUNDS[0], 32_000 // len(counts)), ROUNDS[1])
     need = _dense(counts, capacity)
     lengths = np.flatnonzero(need)
     done = np.zeros(capacity + 1)
@@ -137,7 +136,7 @@ def relax(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, growth: f
         if t > rounds and arrears.max() < 1e-6:
             break
         least_value = 0.0 if t > rounds + rounds // 4 else 1 - SLACK  # the last round covers what is uncovered yet
-        prices = start * np.exp(growth * arrears)
+        prices = start * np.exp(SLACK * rounds * arrears)
         sack = Knapsack(prices, capacity)
         if (low := float(need @ prices) / sack.best) > bound:
             bound, kept = low, prices / sack.best
@@ -161,7 +160,7 @@ def relax(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, growth: f
     return Relaxed(bought, scale * sum(bought.values()), bound, kept)
 
 
-def solve(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Solved:
+def solve(counts: dict[int, int], capacity: int, rounds: int | None = None) -> Solved:
     """Fillings with whole multiplicities that hold exactly ``counts``."""
     rest = {int(k): int(v) for k, v in counts.items() if v > 0}
     if any(k < 1 or k > capacity for k in rest):
