@@ -8,9 +8,12 @@ else one separator), hashed to ``DIM`` places and scaled to unit length.
 ``FAMILIES`` says which family a language code belongs to; a code not listed is
 a family of its own, so any set of labels works.
 
-Training takes at most ``max_fit`` labelled documents (documented bound, the
-smallest by a hash of id and text, spread over the labels), features are made
-on the executors, and only these reach the driver.
+Every label of the training documents is learnt.  Training takes at most
+``max_fit`` labelled documents, or two of each label if those are more
+(documented bound: the smallest by a hash of id and text, spread over the
+labels); features are made on the executors, and only these reach the driver,
+sorted, so the model does not depend on how the table is partitioned.  Labels
+are configuration and may be at most ``max_labels`` (an error says so beyond).
 
 Defined results: null text, or text without a letter: ``und`` with score 0.
 No labelled document at all: every document is ``und``.  A null doc_id falls
@@ -30,6 +33,7 @@ from ravelgrid.llm.common import fold
 
 DIM = 2048
 MAX_FIT = 2400
+MAX_LABELS = 2000
 #: Families of the common codes of ISO 639-1.
 FAMILIES = {
     "germanic": "en de nl sv da no is af",
@@ -79,15 +83,15 @@ def features(text: bytes) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, c: float = 30.0) -> np.ndarray:
-    """Linear SVM (squared hinge, L2) by Nesterov gradient steps; y is +1/-1; last weight is the bias."""
+    """Linear SVMs (squared hinge, L2) by Nesterov gradient steps, one per row of ``y`` (+1/-1); last weights are the biases."""
     x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     # classes weigh alike
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    weight = np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(axis=1, keepdims=True)), 0.5 / np.maximum(1, (y < 0).sum(axis=1, keepdims=True)))
     step = 1.0 / (1.0 + 2 * c * 2.0)
-    w = v = np.zeros(x1.shape[1])
+    w = v = np.zeros((len(y), x1.shape[1]))
     for k in range(rounds):
-        slack = np.maximum(0.0, 1 - y * (x1 @ v))
-        grad = v - 2 * c * (x1.T @ (weight * y * slack))
+        slack = np.maximum(0.0, 1 - y * (v @ x1.T))
+        grad = v - 2 * c * ((weight * y * slack) @ x1)
         new = v - step * grad
         v = new + (k / (k + 3)) * (new - w)
         w = new
@@ -140,12 +144,12 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     model.members = {f: [c for c in names if family_of(c) == f] for f in model.families}
     if len(model.families) > 1:
         of = np.array([family_of(c) for c in langs], object)
-        model.family_w = np.stack([svm(x, np.where(of == f, 1.0, -1.0)) for f in model.families])
+        model.family_w = svm(x, np.stack([np.where(of == f, 1.0, -1.0) for f in model.families]))
     for members in model.members.values():
         for i, a in enumerate(members):
             for b in members[i + 1 :]:
                 rows = np.flatnonzero((codes == a) | (codes == b))
-                model.pair_w[a, b] = svm(x[rows], np.where(codes[rows] == a, 1.0, -1.0))
+                model.pair_w[a, b] = svm(x[rows], np.where(codes[rows] == a, 1.0, -1.0)[None, :])[0]
     return model
 
 
@@ -155,25 +159,27 @@ def _featurize(batches):
         yield pa.record_batch([batch.column(0), pa.array(made, pa.binary())], names=["lang", "x"])
 
 
-def fit_documents(docs: DataFrame, train=None, max_fit: int = MAX_FIT) -> Model | None:
+def fit_documents(docs: DataFrame, train=None, max_fit: int = MAX_FIT, max_labels: int = MAX_LABELS) -> Model | None:
     """Fit on at most ``max_fit`` documents with a language where ``train`` holds (default: fold is not 2 of 4)."""
     train = fold("doc_id", 4) != 2 if train is None else train
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     pool = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", key.alias("k"))
     # each task and label offers at most its share before anything is shuffled
-    counts = pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
+    counts = pool.groupBy("lang").count().limit(max_labels + 1).collect()
     if not counts:
         return None
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} languages")
     each = max(2, max_fit // len(counts))
     total = {r["lang"]: r["count"] for r in counts}
     # a hash threshold leaves about twice the wanted number of each label, then the smallest of those
-    keep = F.lit(False)
-    for lang, n in total.items():
-        share = min(1.0, 2.0 * each / n + 20.0 / n)
-        keep = keep | ((F.col("lang") == lang) & (F.pmod("k", F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+    cut = {lang: int(min(1.0, 2.0 * each / n + 20.0 / n) * (1 << 20)) + 1 for lang, n in total.items()}
+    limits = F.broadcast(docs.sparkSession.createDataFrame(sorted(cut.items()), "lang string, cut long"))  # max_labels rows
+    few = pool.join(limits, "lang").filter(F.pmod("k", F.lit(1 << 20)) < F.col("cut"))
     order = Window.partitionBy("lang").orderBy("k", "text")
-    chosen = pool.filter(keep).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each)
+    chosen = few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each)
     got = chosen.select("lang", "text").mapInArrow(_featurize, "lang string, x binary").collect()
+    got.sort(key=lambda r: (r["lang"], r["x"]))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in got])
     return fit(x, [r["lang"] for r in got])
 

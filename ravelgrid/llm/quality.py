@@ -1,24 +1,27 @@
 """Quality classifier by attention-based multiple-instance learning (operator 9).
 
 A document is a bag of passages (``PASSAGE_WORDS`` words each, the whole text).
-Every passage is encoded as a vector of surface statistics, passed through a
-learnt tanh layer; gated attention, ``softmax(w . (tanh(V h) * sigmoid(U h)))``,
+Every passage is encoded as a vector of surface statistics and of signed hashed
+word counts, passed through a learnt tanh layer; gated attention, ``softmax(w . (tanh(V h) * sigmoid(U h)))``,
 weighs the passages, and a logistic layer scores the weighted representation.
-All weights are learnt from document labels only, by Adam on full batches.
+All weights are learnt from document labels only, by Adam on full batches; a
+tenth of the bags is kept out and says when to stop.
 
 Training takes at most ``max_fit`` labelled documents (documented bound: the
-smallest by a hash of the id, per label), encoded on the executors; of one bag
-at most ``FIT_PASSAGES`` evenly spread passages are used *for fitting only*.
-Scoring uses every passage of every text.
+smallest by a hash of the id, per label), encoded on the executors.  Fitting and
+scoring use every passage of every text.  The driver gets the bags sorted and
+adds gradients in that order, so the model does not depend on partitioning.
 
 Defined results: a text without words (null, empty) is one passage of zeros.
 No labels at all: every score is 0.5.  A null doc_id falls into fold 0
-(held out).  Of rows that share an id one is learnt from; an id with both labels
-counts for both.
+(held out).  Of rows that share an id the one with the least text is learnt
+from; an id with both labels counts for both.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +31,6 @@ from ravelgrid.llm.common import fold
 
 PASSAGE_WORDS = 100
 MAX_FIT = 6000
-FIT_PASSAGES = 24
 THRESHOLD = 0.3
 HIDDEN, GATE = 16, 8
 _CLASSES = 8
@@ -44,7 +46,8 @@ def _byte_class() -> np.ndarray:
 
 
 _CLASS = _byte_class()
-N_FEATURES = _CLASSES + 8
+WORD_PLACES = 32
+N_FEATURES = _CLASSES + 8 + WORD_PLACES
 
 
 def passages(text: bytes) -> np.ndarray:
@@ -75,9 +78,14 @@ def passages(text: bytes) -> np.ndarray:
     odd_end = np.bincount(of_word[(_CLASS[last] == 6)], minlength=n)
     mean_len = np.bincount(of_word, lengths, minlength=n) / count
     long_words = np.bincount(of_word[lengths > 20], minlength=n)
+    # words as signed counts in hashed places, case of A-Z dropped
+    code = np.fromiter((zlib.crc32(w.lower()) for w in numbers), np.int64, len(numbers))[ids]
+    sign = 1.0 - 2.0 * ((code >> 16) & 1)
+    content = np.bincount(of_word * WORD_PLACES + code % WORD_PLACES, sign, n * WORD_PLACES).reshape(n, WORD_PLACES)
     out = np.column_stack([
         cls / np.maximum(size, 1)[:, None], distinct / count, repeats / count, fresh / count, odd_end / count,
         np.log1p(mean_len), long_words / count, np.log1p(count), np.full(n, np.log1p(len(words))),
+        content / np.sqrt(count)[:, None],
     ])
     return out.astype(np.float32)
 
@@ -91,12 +99,13 @@ class Attention:
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = np.zeros(N_FEATURES), np.ones(N_FEATURES)
-        self.p = {
+        self.mean, self.scale = np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32)
+        first = {
             "E": rng.normal(0, 0.3, (N_FEATURES, HIDDEN)), "e": np.zeros(HIDDEN),
             "V": rng.normal(0, 0.3, (HIDDEN, GATE)), "U": rng.normal(0, 0.3, (HIDDEN, GATE)), "w": rng.normal(0, 0.3, GATE),
             "o": rng.normal(0, 0.3, HIDDEN), "b": np.zeros(1),
         }
+        self.p = {k: v.astype(np.float32) for k, v in first.items()}
 
     def forward(self, x, starts, sizes):
         p = self.p
@@ -114,13 +123,27 @@ class Attention:
         return self.forward(x, np.cumsum(sizes) - sizes, sizes)[-1]
 
     def fit(self, x, sizes, y, rounds: int = 300, rate: float = 0.02):
-        sizes, y = np.asarray(sizes), np.asarray(y, np.float64)
+        """Learn from bags; every tenth bag only says which round was best (where there are a hundred bags)."""
+        sizes, y = np.asarray(sizes), np.asarray(y, np.float32)
+        kept_out = (np.arange(len(sizes)) % 10 == 9) & (len(sizes) >= 100)
+        of = np.repeat(kept_out, sizes)
+        x = x.astype(np.float32)
+        test, x = (x[of], sizes[kept_out], y[kept_out]), x[~of]
+        sizes, y = sizes[~kept_out], y[~kept_out]
         starts = np.cumsum(sizes) - sizes
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + np.float32(1e-3)
+        weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        best, best_p, since = np.inf, self.p, 0
         for step in range(1, rounds + 1):
+            if step % 10 == 0 and kept_out.any():
+                out = np.clip(self.scores(*test[:2]), 1e-6, 1 - 1e-6)
+                loss = -float(np.mean(np.where(test[2] > 0, np.log(out), np.log(1 - out))))
+                if loss < best - 1e-4:
+                    best, best_p, since = loss, dict(self.p), 0
+                elif (since := since + 1) == 5:
+                    break
             p = self.p
             z, h, t, g, a, pooled, out = self.forward(x, starts, sizes)
             d = (out - y) * weight
@@ -139,6 +162,8 @@ class Attention:
                 m[k] = 0.9 * m[k] + 0.1 * gk
                 s[k] = 0.999 * s[k] + 0.001 * gk**2
                 p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
+        if kept_out.any():
+            self.p = dict(best_p)
         return self
 
 
@@ -147,7 +172,6 @@ def _encode(batches):
         made, sizes = [], []
         for t in batch.column(1).cast(pa.binary()):
             x = passages(t.as_py())
-            x = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), FIT_PASSAGES)).astype(int))]
             made.append(x.tobytes()), sizes.append(len(x))
         yield pa.record_batch([batch.column(0), pa.array(made, pa.binary()), pa.array(sizes, pa.int32())], names=["y", "x", "n"])
 
@@ -175,11 +199,12 @@ def fit_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     chosen = F.broadcast(marks.filter(keep).orderBy("k", "lab_id", "y").limit(max_fit).select("lab_id", "y"))
     rows = docs.select(F.col("doc_id").cast("long").alias("lab_id"), F.coalesce("text", F.lit("")).alias("text"))
     # rows that share an id count once, so no more than max_fit bags are collected
-    joined = rows.join(chosen, "lab_id").dropDuplicates(["lab_id", "y"]).select("y", "text")
+    joined = rows.join(chosen, "lab_id").groupBy("lab_id", "y").agg(F.min("text").alias("text")).select("y", "text")
     got = joined.mapInArrow(_encode, "y int, x binary, n int").collect()
+    got.sort(key=lambda r: (r["y"], r["x"]))
     if not got:
         return None
-    x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in got]).astype(np.float64)
+    x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in got])
     model = Attention().fit(x, [r["n"] for r in got], [r["y"] for r in got])
     model.p["b"] = model.p["b"] + np.log((total.get(1, 0) + 0.5) / (total.get(0, 0) + 0.5))
     return model
@@ -191,7 +216,7 @@ def _scores_of(model, texts) -> np.ndarray:
 
     def flush():
         if group:
-            out.append(model.scores(np.concatenate(group).astype(np.float64), sizes) if model else np.full(len(sizes), 0.5))
+            out.append(model.scores(np.concatenate(group), sizes).astype(np.float64) if model else np.full(len(sizes), 0.5))
 
     for t in texts:
         x = passages(t)

@@ -58,3 +58,78 @@ def test_passages_are_finite(text):
 
     x = quality.passages(text)
     assert x.shape[1] == quality.N_FEATURES and np.isfinite(x).all() and len(x) == max(1, -(-len(text.split()) // quality.PASSAGE_WORDS))
+
+
+def test_many_languages_are_all_learnt(spark):
+    """250 labels, far more than any plan literal would want; each has a word of its own."""
+    import random
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(250)]
+    rows = [(i, f"{words[i % 250]} " * 12, f"q{i % 250:03d}", "s", 9) for i in range(1000)]
+    df = C.frame(spark, rows)
+    model = language_id.fit_documents(df, max_fit=500)
+    assert len(model.families) == 250
+    got = language_id.identify(df, model).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert {r.lang_pred for r in got} == {f"q{i:03d}" for i in range(250)}
+    assert sum(r.lang == r.lang_pred for r in got) > 0.98 * len(got)
+    with pytest.raises(ValueError):
+        language_id.fit_documents(df, max_labels=249)
+
+
+def test_models_do_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    again = docs.repartition(7, "text")
+    a, b = language_id.fit_documents(docs), language_id.fit_documents(again)
+    assert (a.family_w == b.family_w).all() and all((a.pair_w[k] == b.pair_w[k]).all() for k in a.pair_w)
+    a, b = quality.fit_documents(docs, labels), quality.fit_documents(again, labels.repartition(5))
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+
+
+def test_repeated_ids_have_one_text(spark):
+    rows = [(i % 50, f"text {i} " * 30, "en", "s", 9) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    a = quality.fit_documents(C.frame(spark, rows), labels)
+    b = quality.fit_documents(C.frame(spark, rows[::-1]).repartition(5), labels)
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+
+
+def test_language_votes_equal_a_plain_count(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    model = language_id.fit_documents(docs)
+    for r in language_id.identify(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        if r.lang_pred == "und":
+            continue
+        x = list(map(float, language_id.features(r.text.encode()))) + [1.0]
+        margins = [sum(a * b for a, b in zip(w, x)) for w in model.family_w] if len(model.families) > 1 else [1.0]
+        members = model.members[model.families[margins.index(max(margins))]]
+        votes = dict.fromkeys(members, 0)
+        for (a, b), w in model.pair_w.items():
+            if a in votes:
+                votes[a if sum(p * q for p, q in zip(w, x)) >= 0 else b] += 1
+        assert votes[r.lang_pred] == max(votes.values())
+
+
+def test_attention_equals_a_plain_forward_pass(spark):
+    import math
+
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_documents(docs, labels)
+    some = docs.limit(60)
+    texts = {r.doc_id: r.text or "" for r in some.collect()}
+    p = {k: v.astype(float) for k, v in model.p.items()}
+
+    def sigmoid(v):
+        return 1 / (1 + math.exp(-v))
+
+    for r in quality.score_documents(some, model).collect():
+        made = []
+        for row in quality.passages(texts[r.doc_id].encode()).astype(float):
+            h = np.tanh((row - model.mean) / model.scale @ p["E"] + p["e"])
+            gate = [math.tanh(h @ p["V"][:, k]) * sigmoid(h @ p["U"][:, k]) for k in range(quality.GATE)]
+            made.append((math.exp(sum(g * w for g, w in zip(gate, p["w"]))), h))
+        total = sum(a for a, _ in made)
+        pooled = sum(a / total * h for a, h in made)
+        assert abs(sigmoid(float(pooled @ p["o"] + p["b"][0])) - r.score) < 1e-3

@@ -47,6 +47,30 @@ def test_known_cases():
     assert pii.mask("to a@b.co or 10.0.0.1") == "to <email> or <ip>"
 
 
+def test_account_numbers_end_with_their_country_s_length():
+    good = "DE89 3704 0044 0532 0130 00"
+    for t in (f"IBAN {good} AND MORE", f"{good}", f"x {good.replace(' ', '')}, y", f"{good} DE12 3456"):
+        assert [t[a:b].replace(" ", "") for k, a, b, _ in pii.find_spans(t) if k == "iban"] == [good.replace(" ", "")]
+    assert not [s for s in pii.find_spans(good + "1") if s[0] == "iban"] and not pii.find_spans("ZZ89 3704 0044 0532 0130 00")
+
+
+def test_context_moves_every_kind_up_and_down():
+    bare = {"email": "a@b.co", "ip": "10.0.0.1", "card": "4111 1111 1111 1111", "phone": "+49 30 1234567", "iban": "DE89 3704 0044 0532 0130 00", "ident": "123-45-6789"}
+    for kind, span in bare.items():
+        def score(text):
+            return next((s[3] for s in pii.find_spans(text) if s[0] == kind), None)
+
+        up = score(f"{pii.CONTEXT[kind].split()[0]}: {span}")
+        none = score(f"xx {span} xx")
+        down = score(f"{pii.AGAINST[kind].split()[0]} {span}")
+        assert up > pii.PRIOR[kind]
+        if kind != "ident":
+            assert none == pii.PRIOR[kind]
+        assert (down is None) if kind in ("ident",) else (down < none)
+        far = "x" * 100 + " "
+        assert score(f"{pii.CONTEXT[kind].split()[0]} {far}{span}") == none
+
+
 def test_long_runs_take_linear_time():
     for t in ("a" * 300_000, "1" * 300_000, "1 " * 150_000, "+1" * 150_000, "a@" * 150_000, "1." * 150_000, "A1" * 150_000, "-" * 300_000):
         pii.find_spans(t)
@@ -61,6 +85,7 @@ def test_detect_and_redact(spark):
         base = plain(t)
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b[0] == k for b in base) for k in pii.BASE_KINDS)
+        assert len(r.scores) == len([x for x in r.spans.split(",") if x]) and all(0 < x <= 1 for x in r.scores)
     assert got[300].spans == "" == got[301].spans
     clean = pii.redact(df)
     assert clean.schema == df.schema and clean.count() == df.count()
