@@ -46,7 +46,7 @@ def _byte_class() -> np.ndarray:
 
 
 _CLASS = _byte_class()
-WORD_PLACES = 32
+WORD_PLACES = 8
 N_FEATURES = _CLASSES + 8 + WORD_PLACES
 
 
