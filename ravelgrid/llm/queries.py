@@ -52,8 +52,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(sf_dir, "documents", spark).select("doc_id", "source")
-    return mixing.interleave(docs).select(
+    return mixing.interleave(table(sf_dir, "documents", spark)).select(
         "doc_id", "source", F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__position").alias("position")
     )
 
