@@ -226,23 +226,3 @@ def near_duplicates(docs: DataFrame, bits: int = 2, shingle: int = SHINGLE, dens
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def one_of_each(docs: DataFrame, bits: int = 2, dense: int = DENSE) -> DataFrame:
-    """``docs`` less the near-duplicates: each component keeps its smallest doc_id's (one) row.
-
-    All columns stay.  Rows that share a doc_id count as one document.  Rows
-    with a null doc_id are kept as they are: they cannot be told apart by id.
-    """
-    found = near_duplicates(docs, bits, dense=dense)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    near = docs.filter("doc_id is not null")
-    kept = near.join(keep, near["doc_id"] == keep["__kept_id"], "left_semi")
-    kept = kept.withColumn("__row", F.row_number().over(_same_id())).filter("__row = 1").drop("__row")
-    return kept.unionByName(docs.filter("doc_id is null"))
-
-
-def _same_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))

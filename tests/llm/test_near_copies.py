@@ -1,0 +1,120 @@
+import random
+from collections import defaultdict
+
+import corpus_fixture as C
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ravelgrid.llm import near_copies
+from ravelgrid.llm.minhash import MinHasher
+
+VOCABULARY = [f"w{i}" for i in range(5000)]
+
+
+def edited(rng, words, share):
+    """Replace runs so that about ``share`` of the five-word shingles change."""
+    words = list(words)
+    for _ in range(max(1, round(share * len(words) / 5))):
+        words[rng.randrange(len(words))] = rng.choice(VOCABULARY)
+    return words
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def components(nodes, within):
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            if within(a, b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    out = defaultdict(set)
+    for n in nodes:
+        out[root(n)].add(n)
+    return {frozenset(v) for v in out.values()}
+
+
+def test_recall_by_similarity(spark):
+    rng = random.Random(4)
+    rows, pairs = [], []
+    for i in range(400):
+        base = [rng.choice(VOCABULARY) for _ in range(300)]
+        rows += [(2 * i, " ".join(base), "en", "s", 0), (2 * i + 1, " ".join(edited(rng, base, rng.uniform(0.02, 0.35))), "en", "s", 0)]
+    texts = {r[0]: r[1] for r in rows}
+    rep = {r.doc_id: r.rep for r in near_copies.groups(C.frame(spark, rows)).collect()}
+    found = [(jaccard(texts[2 * i], texts[2 * i + 1]), rep[2 * i] == rep[2 * i + 1]) for i in range(400)]
+    for lo, hi, least in ((0.85, 0.9, 0.8), (0.9, 1.0, 0.98)):
+        some = [f for j, f in found if lo <= j < hi]
+        assert len(some) > 20 and sum(some) / len(some) >= least
+    assert not any(f for j, f in found if j < 0.65)
+    assert len(set(rep.values())) >= 400  # different bases stay apart
+
+
+@pytest.mark.parametrize("dense", [64, 3])
+def test_components_equal_brute_force(spark, dense):
+    """Fingerprints differ in few bits, so every pair within the radius meets; large buckets give the same groups."""
+    rng = np.random.default_rng(3)
+    prints = []
+    for _ in range(6):
+        centre = rng.integers(0, 2**63, near_copies.WORDS).astype(np.uint64)
+        for _ in range(25):
+            x = centre.copy()
+            for k in rng.integers(0, near_copies.BITS, rng.integers(0, 14)):
+                x[k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+            prints.append(x)
+    rows = [(2 * i, *(int(v) for v in x.view(np.int64))) for i, x in enumerate(prints)]
+    nodes = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ("node", *near_copies._W)))
+    from ravelgrid.llm.components import connected
+
+    most = 12
+    by = {2 * i: x for i, x in enumerate(prints)}
+    want = components(sorted(by), lambda a, b: int(np.bitwise_count(by[a] ^ by[b]).sum()) <= most)
+    rep = {r.node: r.rep for r in connected(near_copies.links(nodes, most, dense)).collect()}
+    got = defaultdict(set)
+    for n in by:
+        got[rep.get(n, n)].add(n)
+    assert {frozenset(v) for v in got.values()} == want and len(want) > 6
+
+
+def test_one_row_of_each_group(spark):
+    df = C.frame(spark, clashing=True)
+    got = near_copies.one_of_each(df)
+    assert got.columns == df.columns
+    rows = got.collect()
+    rep = near_copies.groups(df).collect()
+    assert len(rows) == len({r.rep for r in rep})
+    ids = [r.doc_id for r in rows]
+    assert ids.count(310) == 2 and None in ids  # two different texts of one id; a text without an id
+    assert [i for i in ids if i is not None and 200 <= i < 240] == [200] and {300, 301, 302} & set(ids) == {300}
+    same = C.frame(spark, [(None, "one two three four five six", "en", "s", 3)] * 40)
+    assert near_copies.one_of_each(same).count() == 1
+    assert near_copies.one_of_each(C.frame(spark, [])).collect() == []
+
+
+def test_a_large_group_of_copies(spark):
+    rng = random.Random(9)
+    base = [rng.choice(VOCABULARY) for _ in range(200)]
+    rows = [(i, " ".join(edited(rng, base, 0.03)), "en", "s", 0) for i in range(300)] + [
+        (1000 + i, " ".join(rng.choice(VOCABULARY) for _ in range(100)), "en", "s", 0) for i in range(50)
+    ]
+    kept = near_copies.one_of_each(C.frame(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(1000, 1050)]
+
+
+def test_clashing_columns_and_fingerprints(spark):
+    df = C.frame(spark)
+    for c in ("h1", "h2", "row", "n", "node", "rep", "key", "a", "b", "w0", "m"):
+        df = df.withColumn(c, F.lit(c))
+    assert near_copies.one_of_each(df).columns == df.columns
+    assert (near_copies.wide_fingerprint(MinHasher().hashes(b"")) == 0).all()
+    h = MinHasher().hashes(b" ".join(b"%d" % i for i in range(9000)))
+    assert (near_copies.wide_fingerprint(h) == near_copies.wide_fingerprint(h[::-1])).all()

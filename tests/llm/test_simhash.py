@@ -75,19 +75,8 @@ def test_links_connect_what_brute_force_connects(spark, dense):
     assert len(set(got)) == len(set(want)) == len(set(zip(got, want)))
 
 
-def test_one_of_each_keeps_columns_and_one_row(spark):
-    df = C.frame(spark, clashing=True)
-    kept = simhash.one_of_each(df)
-    assert kept.columns == df.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect() if r.doc_id is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(set(found.values()))
-    assert ids.count(None) == 2
-
-
 def test_empty_table(spark):
     assert simhash.near_duplicates(C.frame(spark, [])).collect() == []
-    assert simhash.one_of_each(C.frame(spark, [])).collect() == []
 
 
 @pytest.mark.parametrize("size", [1, 7, 1000])
