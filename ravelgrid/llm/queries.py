@@ -52,7 +52,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.interleave(table(sf_dir, "documents", spark)).select(
+    docs = table(sf_dir, "documents", spark)
+    narrow = docs.select("doc_id", "source", F.xxhash64(*docs.columns).alias("row_hash"))  # the schedule needs no more
+    return mixing.interleave(narrow).select(
         "doc_id", "source", F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__position").alias("position")
     )
 
