@@ -59,8 +59,8 @@ def test_recall_by_similarity(spark):
     assert len(set(rep.values())) >= 400  # different bases stay apart
 
 
-@pytest.mark.parametrize("dense", [64, 3])
-def test_components_equal_brute_force(spark, dense):
+@pytest.mark.parametrize("dense, width", [(64, None), (3, None), (20, 3)])
+def test_components_equal_brute_force(spark, dense, width):
     """Fingerprints differ in few bits, so every pair within the radius meets; large buckets give the same groups."""
     rng = np.random.default_rng(3)
     prints = []
@@ -78,7 +78,7 @@ def test_components_equal_brute_force(spark, dense):
     most = 12
     by = {2 * i: x for i, x in enumerate(prints)}
     want = components(sorted(by), lambda a, b: int(np.bitwise_count(by[a] ^ by[b]).sum()) <= most)
-    rep = {r.node: r.rep for r in connected(near_copies.links(nodes, most, dense)).collect()}
+    rep = {r.node: r.rep for r in connected(near_copies.links(nodes, most, dense, width)).collect()}
     got = defaultdict(set)
     for n in by:
         got[rep.get(n, n)].add(n)
