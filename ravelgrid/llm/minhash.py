@@ -13,9 +13,11 @@ Defined results: fewer than five words are one shingle; a text without words
 other are not (0).  Equal texts have equal fingerprints.
 
 ``edited_pairs`` also needs each document's successor by descending doc_id.
-Documents are dealt to id ranges of some megabytes (bounds are doc_ids of the
-table), and the document at each bound goes to the neighbouring range too, so
-no range needs another.  Ties in doc_id go by text bytes; null ids come last.
+Rows are dealt to ranges of (doc_id, hash of the text) by Spark's range
+partitioning, so equal and null ids spread too, and run through in order, one
+row held at a time.  Each range puts its first and last row beside its results;
+the last rows then meet the first rows of the next ranges in a small join.
+Ties in doc_id go by the text's hash, then text; null ids come last.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelgrid.llm.common import id_and_text, shuffle_partitions
+from ravelgrid.llm.common import id_and_text, materialize, shuffle_partitions
 
 BINS = 512
 B_BITS = 4
@@ -134,74 +137,71 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _ranges(bounds: list[int]):
-    """Rows to (bucket, helper, doc_id, text): own range, and as helper of the range above a bound."""
-    edges = np.array(bounds[:-1], np.int64)
-    top = bounds[-1]
+_EDGE = "range int, edge string, text string"
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            value = ids.fill_null(0).to_numpy()
-            home = np.where(known, np.searchsorted(edges, value), 0)
-            at, bucket, helper = [np.arange(len(value))], [home], [np.zeros(len(value), bool)]
-            lo, hi = np.searchsorted(edges, value), np.searchsorted(edges, value, side="right")
-            bound = np.flatnonzero(known & (hi > lo))  # its id is a bound: greatest of its range
-            at.append(bound), bucket.append(hi[bound]), helper.append(np.ones(len(bound), bool))
-            wrap = np.flatnonzero(known & (value == top))
-            at.append(wrap), bucket.append(np.zeros(len(wrap), np.int64)), helper.append(np.ones(len(wrap), bool))
-            take = pa.array(np.concatenate(at))
-            yield pa.record_batch(
-                [
-                    pa.array(np.concatenate(bucket).astype(np.int32)), pa.array(np.concatenate(helper)),
-                    ids.take(take), batch.column(1).take(take),
-                ],
-                names=["bucket", "helper", "doc_id", "text"],
-            )
-
-    return run
-
-
-def _pairs(table: pa.Table) -> pa.Table:
+
+def _row(hasher, doc_id, text, mine, following, next_sketch):
+    edited = _edited(text, following).encode("utf-8", "replace")
+    changed = hasher.sketch(edited)
+    return (doc_id, len(text), hashlib.sha256(edited).hexdigest(), pack(mine), pack(changed), likeness(mine, changed), likeness(mine, next_sketch))
+
+
+def _batch(rows) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+    names = [f.split()[0] for f in f"{PAIR_SCHEMA}, {_EDGE}".split(", ")]
+    width = len(names)
+    columns = zip(*((*r, *(None,) * (width - len(r))) for r in rows))
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+
+def _along(batches):
+    """Sorted rows to a result for each but the last; first and last row themselves as edges."""
+    hasher, of = MinHasher(), TaskContext.get().partitionId()
+    held = None
+    for batch in batches:
+        rows = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sketch = hasher.sketch(text.encode("utf-8", "replace"))
+            if held is None:
+                rows.append((doc_id, *(None,) * 6, of, "first", text))
+            else:
+                rows.append(_row(hasher, *held, text, sketch))
+            held = (doc_id, text, sketch)
+        if rows:
+            yield _batch(rows)
+    if held is not None:
+        yield _batch([(held[0], *(None,) * 6, of, "last", held[1])])
+
+
+def _across(batches):
+    """Last rows with the first row of the range after theirs (doc_id, text, next_text)."""
     hasher = MinHasher()
-    ids, texts, helper = (table.column(c).to_pylist() for c in ("doc_id", "text", "helper"))
-
-    def order(i):
-        return (ids[i] is None, -(ids[i] or 0), texts[i].encode("utf-8", "replace"))
-
-    own = sorted((i for i in range(len(ids)) if not helper[i]), key=order)
-    # the nearest below for an ordinary range; for the lowest, the table's first
-    extra = sorted((i for i in range(len(ids)) if helper[i]), key=order)
-    chain = own + (extra[:1] or own[:1])
-    sketches: dict[int, np.ndarray | None] = {}
-
-    def of(i):
-        if i not in sketches:
-            sketches[i] = hasher.sketch(texts[i].encode("utf-8", "replace"))
-        return sketches[i]
-
-    rows = []
-    for i, j in zip(own, chain[1:]):
-        edited = _edited(texts[i], texts[j]).encode("utf-8", "replace")
-        mine, changed = of(i), hasher.sketch(edited)
-        rows.append((ids[i], len(texts[i]), hashlib.sha256(edited).hexdigest(), pack(mine), pack(changed),
-                     likeness(mine, changed), likeness(mine, of(j))))
-        if i != own[0]:
-            sketches.pop(i, None)
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    columns = zip(*rows) if rows else [[]] * len(types)
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+    for batch in batches:
+        rows = []
+        for doc_id, text, following in zip(*(c.to_pylist() for c in batch.columns)):
+            mine, other = (hasher.sketch(t.encode("utf-8", "replace")) for t in (text, following))
+            rows.append(_row(hasher, doc_id, text, mine, following, other))
+        if rows:
+            made = _batch(rows)
+            yield pa.RecordBatch.from_arrays(made.columns[:7], names=made.schema.names[:7])
 
 
 def edited_pairs(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likenesses (see PAIR_SCHEMA)."""
     spark = docs.sparkSession
-    rows = id_and_text(docs)
+    rows = id_and_text(docs).withColumn("h", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(4 * shuffle_partitions(spark), -(-size // range_bytes))
-    inner, top = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n), F.max("doc_id")).first()
-    bounds = [b for b in sorted(set(inner)) if b < top] + [top] if inner else [0]
-    dealt = rows.mapInArrow(_ranges(bounds), "bucket int, helper boolean, doc_id long, text string")
-    return dealt.groupBy("bucket").applyInArrow(_pairs, PAIR_SCHEMA)
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    made = materialize(dealt.mapInArrow(_along, f"{PAIR_SCHEMA}, {_EDGE}"), "minhash")
+    edges = made.filter("edge is not null")
+    first = edges.filter("edge = 'first'").select(F.col("range").alias("after"), F.col("text").alias("next_text"))
+    last = edges.filter("edge = 'last'").select("range", "doc_id", "text")
+    # one small row per range, without texts: which range comes next (the last one: the first)
+    along = Window.orderBy("range")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = last.select("range", F.coalesce(F.lead("range").over(along), F.min("range").over(whole)).alias("after"))
+    pairs = last.join(following, "range").join(first, "after").select("doc_id", "text", "next_text").mapInArrow(_across, PAIR_SCHEMA)
+    columns = [f.split()[0] for f in PAIR_SCHEMA.split(", ")]
+    return made.filter("edge is null").select(*columns).union(pairs)

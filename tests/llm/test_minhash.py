@@ -3,6 +3,7 @@ import hashlib
 import corpus_fixture as C
 import numpy as np
 import pytest
+import xxhash
 
 from ravelgrid.llm import minhash
 
@@ -21,7 +22,11 @@ def jaccard(a, b):
 @pytest.mark.parametrize("range_bytes", [8 << 20, 2000])
 def test_edited_texts_and_likeness(spark, range_bytes):
     rows = C.documents()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    def tie(text):  # Spark's hash, as a signed number
+        h = xxhash.xxh64_intdigest(text.encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1] or ""), r[1] or ""))
     want, true = [], {}
     for r, nxt in zip(order, order[1:] + order[:1]):
         t, n = r[1] or "", nxt[1] or ""
@@ -64,3 +69,12 @@ def test_defined_cases(spark):
     assert minhash.edited_pairs(C.frame(spark, [])).collect() == []
     one = minhash.edited_pairs(C.frame(spark, [(7, "abc def", "en", "s", 7)])).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abc abc").hexdigest() and one[0].near_next == 1.0
+
+
+def test_many_null_and_equal_ids(spark):
+    rows = [(None if i % 3 else 5, f"some words and the number {i} to tell them apart", "en", "s", 0) for i in range(600)]
+    got = minhash.edited_pairs(C.frame(spark, rows), 500).collect()
+    assert len(got) == 600 and len({r.fingerprint for r in got}) > 590
+    # every text follows exactly one other: the edited texts end in it
+    halves = {hashlib.sha256((a[1][: len(a[1]) - len(a[1]) // 2] + b[1][: len(a[1]) // 2]).encode()).hexdigest() for a in rows[:40] for b in rows}
+    assert sum(r.edited_sha256 in halves for r in got) >= 40
