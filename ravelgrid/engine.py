@@ -23,8 +23,6 @@ class TensorEngine:
     def __init__(self, spark: SparkSession, tile_bytes: int = DEFAULT_BYTES, task_bytes: int = TASK_BYTES):
         self.spark, self.task_bytes = spark, task_bytes
         self.store = TileStore(spark, tile_bytes)
-        # tiles are large rows: keep Arrow batches small in bytes
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
 
     def create(self, path: str, shape, dtype: str = "fp64", chunk=None) -> Tensor:
         return self.store.create(path, shape, dtype, chunk)

@@ -9,7 +9,6 @@ from ravelgrid.errors import TensorTypeError
 
 FP64, COMPLEX128 = "fp64", "complex128"
 ELEMENT_BYTES = {FP64: 8, COMPLEX128: 16}
-CELL_TYPE = {FP64: "double", COMPLEX128: "struct<r:double,i:double>"}
 
 
 def check_dtype(dtype: str) -> str:
@@ -35,10 +34,3 @@ def total(v: Column, dtype: str) -> Column:
 
 def zero_of(dtype: str) -> Column:
     return F.lit(0.0) if dtype == FP64 else F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("i"))
-
-
-def literal(value: complex | float, dtype: str) -> Column:
-    if dtype == FP64:
-        return F.lit(float(value))
-    value = complex(value)
-    return F.struct(F.lit(value.real).alias("r"), F.lit(value.imag).alias("i"))

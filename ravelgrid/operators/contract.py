@@ -29,8 +29,6 @@ from ravelgrid.plans.einsum import EinsumPlan, label_sizes, parse
 from ravelgrid.sources.tensor import CELLS, TILES, Tensor
 
 TASK_BYTES = 192 << 20
-#: Joined rows of cells beyond which ``auto`` cuts cells into tiles.
-MAX_CELL_PRODUCTS = 50_000_000
 DEFAULT_TILE_BYTES = 2 << 20
 
 
@@ -40,15 +38,15 @@ def contract(
     """The product as a tensor in the operands' form.
 
     ``strategy``: ``cells``, ``tiles``, or ``auto`` (tiles if an operand is in
-    tiles, or if dense operands would join to more than MAX_CELL_PRODUCTS rows).
+    tiles, else cells).  The shape never decides: in tiles, cells that were
+    absent are stored zeros and meet NaN as such, so tiles are the caller's choice.
     """
     plan = expr if isinstance(expr, EinsumPlan) else parse(expr, allow_batch)
     shape = plan.shape_of_c(a.shape, b.shape)
     if a.dtype != b.dtype:
         raise TensorTypeError(f"A is {a.dtype}, B is {b.dtype}")
     if strategy == "auto":
-        sizes = label_sizes(plan, a.shape, b.shape)
-        strategy = TILES if TILES in (a.form, b.form) or (shape and prod(sizes.values()) > MAX_CELL_PRODUCTS) else CELLS
+        strategy = TILES if TILES in (a.form, b.form) else CELLS
     if strategy == CELLS:
         return _contract_cells(plan, _cells(a), _cells(b), shape)
     if plan.batch or not shape:

@@ -32,9 +32,9 @@ def _cells(df: DataFrame, coords: dict[str, tuple[str, int]], value: str = "l_qu
     return from_dataframe(made, list(coords), "val", [n for _, n in coords.values()], dtype)
 
 
-def _ab(spark, sf_dir, where_a: str = "true", where_b: str = "true") -> tuple[Tensor, Tensor]:
+def _ab(spark, sf_dir, where_a: str = "true", where_b: str = "true", rows: int = 48) -> tuple[Tensor, Tensor]:
     li = _lineitem(spark, sf_dir)
-    a = _cells(li.filter(where_a), {"i": ("l_partkey % 48", 48), "j": ("l_suppkey % 40", 40)})
+    a = _cells(li.filter(where_a), {"i": ("l_partkey % 48", rows), "j": ("l_suppkey % 40", 40)})
     b = _cells(li.filter(where_b), {"j": ("l_suppkey % 40", 40), "k": ("month(l_shipdate) - 1", 12)})
     return a, b
 
@@ -201,13 +201,14 @@ WHERE (a.i // 16 + a.j // 8) % 2 = 0 AND b.k // 6 = 0 GROUP BY 1, 2"""
 
 
 def contract_dense_output(spark, sf_dir):
-    a, b = _ab(spark, sf_dir, "l_partkey % 48 < 20")
+    """A is taller than its cells reach: the rows of C beyond are zeros."""
+    a, b = _ab(spark, sf_dir, rows=60)
     return _named(to_dense(contract("ij,jk->ik", a, b)), "ik")
 
 
-_DENSE = _with("l_partkey % 48 < 20") + f""", c AS ({_MATMUL})
+_DENSE = _with() + f""", c AS ({_MATMUL})
 SELECT CAST(g.i AS BIGINT) AS i, CAST(h.k AS BIGINT) AS k, COALESCE(c.v, 0.0::DOUBLE) AS v
-FROM range(48) g(i) CROSS JOIN range(12) h(k) LEFT JOIN c ON c.i = g.i AND c.k = h.k"""
+FROM range(60) g(i) CROSS JOIN range(12) h(k) LEFT JOIN c ON c.i = g.i AND c.k = h.k"""
 
 
 def tensor_fill(spark, sf_dir):
@@ -238,15 +239,15 @@ _SCAN = "SELECT a.t AS t0, b.t AS t1, c.t AS t2, d.t AS t3, " + ", ".join(f"{x}.
 
 
 def tile_scan(spark, sf_dir):
-    """Present tiles and their sums, A cut into 16 x 8 tiles."""
-    a, _ = _ab(spark, sf_dir, "l_partkey % 48 < 20")
+    """Present tiles and their sums, A cut into 16 x 8 tiles; the last rows of tiles are absent."""
+    a, _ = _ab(spark, sf_dir, rows=80)
     t = to_tiles(a, (16, 8))
     cells = to_cells(t).df.withColumn("t0", index.tile_of(F.col("i0"), 16).cast("long")).withColumn("t1", index.tile_of(F.col("i1"), 8).cast("long"))
     present = scan(t).select(F.col("t0").cast("long").alias("t0"), F.col("t1").cast("long").alias("t1"))
     return present.join(cells.groupBy("t0", "t1").agg(F.sum("v").alias("v")), ["t0", "t1"])
 
 
-_TILE_SCAN = f"SELECT i // 16 AS t0, j // 8 AS t1, SUM(v) AS v FROM ({_A.format('l_partkey % 48 < 20')}) GROUP BY 1, 2"
+_TILE_SCAN = f"SELECT i // 16 AS t0, j // 8 AS t1, SUM(v) AS v FROM ({_A.format('true')}) GROUP BY 1, 2"
 
 
 def retile_cells(spark, sf_dir):
@@ -321,12 +322,127 @@ def tensor_store_roundtrip(spark, sf_dir):
     return _named(to_cells(eng.accumulate("ij,jk->ik", f"{path}/a", f"{path}/b", f"{path}/c")), "ik").filter("v <> 0")
 
 
+def contract_whole_keys(spark, sf_dir):
+    """Suppliers by months, over order and line: labels are the tables' own keys, cells as many as rows."""
+    li = _lineitem(spark, sf_dir)
+    size = li.agg(F.max("l_orderkey"), F.max("l_suppkey"), F.max("l_linenumber")).first()
+    o, s, n = (int(x or 0) + 1 for x in size)
+    a = _cells(li, {"s": ("l_suppkey", s), "o": ("l_orderkey", o), "n": ("l_linenumber", n)})
+    b = _cells(li, {"o": ("l_orderkey", o), "n": ("l_linenumber", n), "m": ("month(l_shipdate) - 1", 12)})
+    return _named(contract("son,onm->sm", a, b), "sm")
+
+
+_WHOLE = """WITH a AS (SELECT l_suppkey AS s, l_orderkey AS o, l_linenumber AS n, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3),
+b AS (SELECT l_orderkey AS o, l_linenumber AS n, CAST(month(l_shipdate) - 1 AS BIGINT) AS m, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)
+SELECT CAST(a.s AS BIGINT) AS s, b.m AS m, CAST(SUM(a.v * b.v) AS DOUBLE) AS v FROM a JOIN b ON a.o = b.o AND a.n = b.n GROUP BY 1, 2"""
+
+
+def tensor_fill_complex(spark, sf_dir):
+    """A stored complex tensor with its own chunk, filled and read back."""
+    from ravelgrid.sources.scratch import scratch_store
+
+    store, path = scratch_store(spark)
+    store.create(path, (9, 7), "complex128", (4, 3))
+    return _flat(to_cells(store.fill(path, 3 + 4j)), "ij")
+
+
+def tensor_store_complex(spark, sf_dir):
+    """C = A B of complex tensors, all three stored in tiles."""
+    from ravelgrid.engine import TensorEngine
+    from ravelgrid.sources.scratch import scratch_store
+
+    _, path = scratch_store(spark)
+    eng = TensorEngine(spark)
+    a, b = _complex_ab(spark, sf_dir)
+    eng.store.write(f"{path}/a", a, (16, 16))
+    eng.store.write(f"{path}/b", b, (16, 6))
+    return _flat(to_cells(eng.contract("ij,jk->ik", f"{path}/a", f"{path}/b", f"{path}/c")), "ik").filter("re <> 0 or im <> 0")
+
+
+def tensor_create_bytes(spark, sf_dir):
+    """Chunks chosen by a target of bytes, on storage and read back."""
+    from ravelgrid.sources.scratch import scratch_store
+    from ravelgrid.sources.store import TileStore
+
+    rows = []
+    for target in (64 << 10, 4 << 20):
+        _, path = scratch_store(spark)
+        t = TileStore(spark, target).create(path, (200, 200))
+        rows.append((target, *t.chunk, t.df.count()))
+    return spark.createDataFrame(rows, "target long, c0 long, c1 long, present long")
+
+
+def tile_lookup(spark, sf_dir):
+    """Three tiles of a sparse tensor: two present, one absent, and one beyond its grid."""
+    from ravelgrid.sources.store import lookup
+
+    cells = spark.range(3).select(*[(F.col("id") * 64).alias(x) for x in "ijk"], (F.col("id") + 1).cast("double").alias("val"))
+    t = to_tiles(from_dataframe(cells, list("ijk"), "val", [192, 192, 192]), (64, 64, 64))
+    asked = [(0, 0, 0), (1, 1, 1), (0, 1, 0), (9, 9, 9)]
+    found = [lookup(t, at).select(*[F.lit(x).cast("long").alias(f"t{d}") for d, x in enumerate(at)], F.octet_length("data").cast("long").alias("bytes")) for at in asked]
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def permute_identity(spark, sf_dir):
+    a, _ = _r3(_lineitem(spark, sf_dir))
+    return _named(to_cells(permute(to_tiles(a, (4, 3, 2)), (0, 1, 2))), "abc").filter("v <> 0")
+
+
+_IDENTITY = "SELECT CAST(l_partkey % 9 AS BIGINT) AS a, CAST(l_suppkey % 7 AS BIGINT) AS b, CAST(l_linenumber % 5 AS BIGINT) AS c, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3"
+
+
+def plan_and_report(spark, sf_dir):
+    """The text of a plan, and what the tiled product has to read and compute."""
+    from ravelgrid.plans.einsum import parse
+    from ravelgrid.plans.report import report
+
+    a, b = _ab(spark, sf_dir, rows=80)
+    r = report("ij,jk->ik", to_tiles(a, (16, 8)), to_tiles(b, (8, 6)))
+    row = (str(parse("ij,jk->ik")), r.flops, r.tiles_a, r.tiles_b, r.present_a, r.present_b)
+    return spark.createDataFrame([row], "plan string, flops long, tiles_a long, tiles_b long, present_a long, present_b long")
+
+
+_REPORT = _with() + """SELECT 'ij,jk->ik: free A i, free B k, contracted j' AS plan, CAST(2 * 80 * 40 * 12 AS BIGINT) AS flops, CAST(25 AS BIGINT) AS tiles_a,
+CAST(10 AS BIGINT) AS tiles_b, (SELECT COUNT(DISTINCT (i // 16, j // 8)) FROM a) AS present_a, (SELECT COUNT(DISTINCT (j // 8, k // 6)) FROM b) AS present_b"""
+
+
+def error_codes(spark, sf_dir):
+    """What the engine raises for wrong calls, as codes."""
+    from ravelgrid.engine import TensorEngine
+    from ravelgrid.errors import TensorError, code_of, describe
+    from ravelgrid.plans.einsum import parse
+    from ravelgrid.sources.scratch import scratch_store
+
+    _, path = scratch_store(spark)
+    eng = TensorEngine(spark)
+    eng.create(f"{path}/a", (2, 3))
+    eng.create(f"{path}/b", (4, 2))
+    calls = {
+        "missing": lambda: eng.read(f"{path}/none"), "shapes": lambda: eng.contract("ij,jk->ik", f"{path}/a", f"{path}/b", f"{path}/c"),
+        "expression": lambda: parse("ij->ij"), "fine": lambda: parse("ij,jk->ik"),
+    }
+    rows = []
+    for name, call in calls.items():
+        raised = None
+        try:
+            call()
+        except TensorError as e:
+            raised = e
+        rows.append((name, code_of(raised), describe(code_of(raised))))
+    return spark.createDataFrame(rows, "call string, code long, meaning string")
+
+
 def queries() -> dict[str, Query]:
     found = [
         contract_matmul, contract_transposed_out, contract_rank3, contract_rank4, contract_rank4_tiled, contract_mixed_rank, contract_complex,
         contract_complex_tiled, contract_outer, contract_vecmat, contract_inner, contract_batch, accumulate_two_terms, accumulate_three_terms,
         accumulate_tiled, contract_block_sparse, contract_dense_output, tensor_fill, tensor_create_scan, tile_scan, retile_cells, permute_axes,
         permute_tiles, gram_embeddings, events_product, contract_matmul_tiled, tensor_store_roundtrip,
+        contract_whole_keys, tensor_fill_complex, tensor_store_complex, tensor_create_bytes, tile_lookup, permute_identity, plan_and_report,
+        error_codes,
     ]
     return {f.__name__: f for f in found}
 
@@ -366,4 +482,13 @@ def oracle_sql() -> dict[str, str]:
         "events_product": _EVENTS,
         "contract_matmul_tiled": nonzero.format(_with() + _MATMUL),
         "tensor_store_roundtrip": _with() + "SELECT a.i AS i, b.k AS k, CAST(2 * SUM(a.v * b.v) AS DOUBLE) AS v FROM a JOIN b ON a.j = b.j GROUP BY 1, 2",
+        "contract_whole_keys": _WHOLE,
+        "tensor_fill_complex": "SELECT a.i AS i, b.j AS j, CAST(3 AS DOUBLE) AS re, CAST(4 AS DOUBLE) AS im FROM range(9) a(i), range(7) b(j)",
+        "tensor_store_complex": _COMPLEX,
+        "tensor_create_bytes": "SELECT * FROM (VALUES (65536::BIGINT, 91::BIGINT, 91::BIGINT, 0::BIGINT), (4194304, 200, 200, 0)) t(target, c0, c1, present)",
+        "tile_lookup": "SELECT i AS t0, i AS t1, i AS t2, CAST(64 * 64 * 64 * 8 AS BIGINT) AS bytes FROM range(2) r(i)",
+        "permute_identity": nonzero.format(_IDENTITY),
+        "plan_and_report": _REPORT,
+        "error_codes": "SELECT * FROM (VALUES ('missing', -1::BIGINT, 'file error'), ('shapes', -2, 'incompatible dimensions'), "
+        "('expression', -3, 'bad expression'), ('fine', 0, 'ok')) t(call, code, meaning)",
     }

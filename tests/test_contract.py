@@ -167,3 +167,12 @@ def test_plan_of_cells_prunes_and_pushes(spark):
 
     plan = queries()["contract_matmul"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "l_comment" not in plan and "Python" not in plan
+
+
+def test_the_shape_does_not_change_the_result(spark):
+    """Two cells, NaN among them, at a small and at a huge shape: the same cells, and never tiles."""
+    for n in (100, 1000, 10**9):
+        a = from_dataframe(spark.createDataFrame([(1, 2, float("nan")), (3, 4, 5.0)], "i long, j long, val double"), ["i", "j"], "val", [n, n])
+        b = from_dataframe(spark.createDataFrame([(4, 6, 7.0), (9, 9, float("nan"))], "j long, k long, val double"), ["j", "k"], "val", [n, n])
+        c = contract("ij,jk->ik", a, b)
+        assert c.form == "cells" and [tuple(r) for r in c.df.collect()] == [(3, 6, 35.0)]
