@@ -1,21 +1,27 @@
 """Language-model scoring by deleted interpolation (operator 1).
 
-Model.  ``P(w | v) = l2[b] c(v w)/c(v) + l1[b] c(w)/N + l0[b]/(V+1)`` with
-maximum-likelihood n-gram estimates and one weight triple per bucket ``b`` of
-the context frequency ``c(v)``.  The training documents are divided: counts of
-the retained part give the estimates, the deleted part gives held-out counts
-on which expectation-maximisation learns the weights.  The final model uses
-the weights with the counts of all training documents.
+Model.  With maximum-likelihood n-gram estimates of every order up to ``order``
+(3) and the uniform ``P0 = 1/(V+1)``,
+``Pk(w | h) = l c(h w)/c(h) + (1 - l) Pk-1(w | h')``, where ``l`` belongs to the
+order and to the bucket of the context frequency ``c(h)`` (0, then powers of
+two).  The training documents are divided: counts of the retained part give the
+estimates, the deleted part gives held-out counts on which expectation-
+maximisation learns the weights, order by order.  The final model uses the
+weights with the counts of all training documents.
 
 Plan.  Documents are packed into blocks (one row holds some megabytes of text
-as word numbers).  Each block sends its *distinct* unigrams and bigrams, as
-sorted 64-bit hashes dealt over hash ranges; each range adds up the counts and
-answers each block.  A very frequent word or pair so arrives once per block,
+as word numbers).  Each block sends its *distinct* n-grams of each order, as
+sorted hashes dealt over hash ranges; each range adds up the counts and
+answers each block.  A very frequent n-gram so arrives once per block,
 not once per token, and a range holds total/parts items whatever the skew.
+Words have 64-bit hashes; those of longer n-grams are cut to ``HASH_SPARE``
+bits more than the number of tokens has, so one n-gram in 2 ** HASH_SPARE at
+most shares its count with a stranger, at any size.
 Blocks are stored in buckets by number, so only the answers travel back to
-them; the counted blocks are written to the shared folder.  EM sees a histogram over (bucket, c(vw)/c(v), c(w)) on a
-fixed logarithmic grid, whose size does not depend on the corpus; at most
-``CELLS`` rows reach the driver.
+them; the counted blocks are written to the shared folder.  EM sees, for each
+order, a histogram over (bucket, c(hw)/c(h), Pk-1) on a fixed logarithmic grid
+(four steps a factor of two: a cell's value is right to 9 %), whose size does
+not depend on the corpus; at most ``CELLS`` rows reach the driver at a time.
 
 Edge cases: a null or empty text is the single end token.  A null doc_id falls
 into fold 0 and is carried through.  Repeated rows are counted and scored each.
@@ -37,8 +43,11 @@ BLOCK_BYTES = 8 << 20
 BUCKETS = 24
 STEPS = 4  # grid steps per factor of two
 RATIO_LEVELS = 30 * STEPS + 2
-COUNT_LEVELS = 44 * STEPS + 2
-CELLS = BUCKETS * RATIO_LEVELS * COUNT_LEVELS
+LOWER_LEVELS = 60 * STEPS + 2
+CELLS = BUCKETS * RATIO_LEVELS * LOWER_LEVELS
+ORDER = 3
+HASH_SPARE = 20
+TOTALS = 4096  # groups that the ranges' totals are dealt to
 RETAINED, DELETED, HELD_OUT = 0, 1, 2
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 START_HASH = np.uint64(0xD1B54A32D192ED03)
@@ -47,8 +56,8 @@ BLOCK_SCHEMA = "block long, doc_id array<long>, part array<byte>, n array<int>,
 ITEM_SCHEMA = "block long, range int, hashes binary, counts binary"
 ANSWER_SCHEMA = "block long, range int, counts binary"
 COUNTED_SCHEMA = (
-    "block long, doc_id array<long>, part array<byte>, n array<int>, c1 binary, c2 binary,"
-    " cell array<int>, cell_n array<long>, v_all long, n_all long, n_ret long, v_ret long"
+    "block long, doc_id array<long>, part array<byte>, n array<int>, counts binary, deleted binary,"
+    " v_all long, n_all long, n_ret long, v_ret long"
 )
 SCORE_SCHEMA = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
@@ -113,27 +122,18 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _grams(ids: np.ndarray, n: np.ndarray, vocab: np.ndarray):
-    """Per token the unigram's and the bigram's hash; token_doc; first flags."""
-    uni = vocab[ids]
-    first = np.zeros(len(ids), bool)
-    first[np.cumsum(n) - n] = True
-    prev = np.empty_like(uni)
-    prev[1:] = uni[:-1]
-    prev[first] = START_HASH
-    return uni, _mix(prev, uni), first
-
-
-def _distinct(ids, n, part, vocab):
-    """Sorted distinct hashes of both orders with counts per part, and where each token's item is."""
-    uni, bi, first = _grams(ids, n, vocab)
-    hashes, inverse = np.unique(np.concatenate([uni, bi]), return_inverse=True)
-    tok_part = np.repeat(part, n)
-    both = np.concatenate([tok_part, tok_part])
-    counts = [np.bincount(inverse[both == p], minlength=len(hashes)).astype(np.uint32) for p in (RETAINED, DELETED)]
-    is_word = np.zeros(len(hashes), bool)
-    is_word[inverse[: len(ids)]] = True
-    return hashes, counts, is_word, inverse, first
+def _distinct(ids: np.ndarray, n: np.ndarray, vocab: np.ndarray, order: int, bits: int):
+    """For each order: the sorted distinct hashes, and which of them each token ends."""
+    word = vocab[ids]
+    first = np.cumsum(n) - n
+    gram = word
+    for k in range(1, order + 1):
+        if k > 1:  # the (k-1)-gram before a token and the token; documents begin with start marks
+            before = np.empty_like(gram)
+            before[1:] = gram[:-1]
+            before[first] = START_HASH
+            gram = _mix(before, word)
+        yield k, *np.unique(gram if k == 1 else gram >> np.uint64(64 - bits), return_inverse=True)
 
 
 def _block_of(row):
@@ -141,9 +141,9 @@ def _block_of(row):
     return _unplanes(_unsqueeze(row["ids"]), np.uint32).astype(np.int64), n, np.array(row["part"], np.int8), np.frombuffer(row["vocab"], np.uint64)
 
 
-def _runs(hashes: np.ndarray, ranges: int):
+def _runs(hashes: np.ndarray, ranges: int, bits: int):
     """(range, from, to) of each hash range that the sorted hashes touch."""
-    of = ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    of = ((hashes >> np.uint64(bits - 32)) * np.uint64(ranges)) >> np.uint64(32)
     starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
     return zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(hashes)])
 
@@ -154,18 +154,19 @@ def _rows(batch):
         yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
-def _items(ranges: int):
+def _items(order: int, bits: int, ranges: int):
     def run(batches):
         for batch in batches:
             for row in _rows(batch):
                 ids, n, part, vocab = _block_of(row)
-                hashes, (kept, gone), is_word, _, _ = _distinct(ids, n, part, vocab)
-                out = []
-                for r, lo, hi in _runs(hashes, ranges):
-                    gaps = np.diff(hashes[lo:hi], prepend=np.uint64(0))
-                    packed = np.concatenate([kept[lo:hi], gone[lo:hi], is_word[lo:hi].astype(np.uint32)])
-                    out.append((row["block"], r, _planes(gaps), _squeeze(_planes(packed))))
-                if out:
+                tok_part = np.repeat(part, n)
+                for k, hashes, inverse in _distinct(ids, n, vocab, order, bits):
+                    kept, gone = (np.bincount(inverse[tok_part == p], minlength=len(hashes)).astype(np.uint32) for p in (RETAINED, DELETED))
+                    out = []
+                    for r, lo, hi in _runs(hashes, ranges, 64 if k == 1 else bits):
+                        gaps = np.diff(hashes[lo:hi], prepend=np.uint64(0))
+                        packed = np.concatenate([kept[lo:hi], gone[lo:hi]])
+                        out.append((row["block"], (k - 1) * ranges + r, _squeeze(_planes(gaps)), _squeeze(_planes(packed))))
                     yield pa.record_batch(
                         [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
                         names=["block", "range", "hashes", "counts"],
@@ -186,35 +187,39 @@ def _unsqueeze(b: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(b)
 
 
-def _count_range(table: pa.Table) -> pa.Table:
+def _count_range(ranges: int):
     """Add up one hash range over all blocks; answer each block in its own order."""
-    blocks = table.column("block").to_pylist()
-    rng = table.column("range")[0].as_py()
-    hashes, kept, gone, words = [], [], [], []
-    for h, c in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist()):
-        hashes.append(np.cumsum(_unplanes(h, np.uint64), dtype=np.uint64))
-        k, g, w = _unplanes(_unsqueeze(c), np.uint32).reshape(3, -1)
-        kept.append(k), gone.append(g), words.append(w)
-    distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    size = len(distinct)
-    ret = np.bincount(inverse, np.concatenate(kept), size).astype(np.uint64)
-    rest = np.bincount(inverse, np.concatenate(gone), size).astype(np.uint64)
-    word = np.bincount(inverse, np.concatenate(words), size) > 0
-    out, at = [], 0
-    for h in hashes:
-        mine = inverse[at : at + len(h)]
-        out.append(_squeeze(_planes(np.concatenate([ret[mine], rest[mine]]))))
-        at += len(h)
-    stats = np.array(
-        [np.sum(word & (ret + rest > 0)), (ret + rest)[word].sum(), ret[word].sum(), np.sum(word & (ret > 0))], np.int64
-    )
-    return pa.table(
-        {
-            "block": pa.array([*blocks, -1], pa.int64()),
-            "range": pa.array([rng] * (len(blocks) + 1), pa.int32()),
-            "counts": pa.array([*out, stats.tobytes()], pa.binary()),
-        }
-    )
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks = table.column("block").to_pylist()
+        rng = table.column("range")[0].as_py()
+        hashes, kept, gone = [], [], []
+        for h, c in zip(table.column("hashes"), table.column("counts")):
+            hashes.append(np.cumsum(_unplanes(_unsqueeze(h.as_py()), np.uint64), dtype=np.uint64))
+            k, g = _unplanes(_unsqueeze(c.as_py()), np.uint32).reshape(2, -1)
+            kept.append(k), gone.append(g)
+        distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        size = len(distinct)
+        ret = np.bincount(inverse, np.concatenate(kept), size).astype(np.uint64)
+        rest = np.bincount(inverse, np.concatenate(gone), size).astype(np.uint64)
+        out, at = [], 0
+        for h in hashes:
+            mine = inverse[at : at + len(h)]
+            out.append(_squeeze(_planes(np.concatenate([ret[mine], rest[mine]]))))
+            at += len(h)
+        if rng < ranges:  # words: their numbers and tokens
+            stats = np.array([np.sum(ret + rest > 0), (ret + rest).sum(), ret.sum(), np.sum(ret > 0)], np.int64)
+            blocks.append(-1 - rng % TOTALS)
+            out.append(stats.tobytes())
+        return pa.table(
+            {
+                "block": pa.array(blocks, pa.int64()),
+                "range": pa.array([rng] * len(blocks), pa.int32()),
+                "counts": pa.array(out, pa.binary()),
+            }
+        )
+
+    return run
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -224,85 +229,136 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
 
 
 def _grid(values: np.ndarray, levels: int) -> np.ndarray:
-    """0 for zero, else 1 + STEPS * log2, rounded and kept on the grid."""
+    """0 for zero, else by STEPS * log2, rounded and kept on the grid, whose last level is 1."""
     safe = np.where(values > 0, values, 1.0)
-    return np.where(values > 0, np.clip(1 + np.rint(STEPS * np.log2(safe)), 1, levels - 1), 0).astype(np.int64)
-
-
-def _attach(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block and its answers: counts per token, and the histogram of its deleted part."""
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.binary(), pa.binary(),
-             pa.list_(pa.int32()), pa.list_(pa.int64()), *[pa.int64()] * 4]
-    names = ["block", "doc_id", "part", "n", "c1", "c2", "cell", "cell_n", "v_all", "n_all", "n_ret", "v_ret"]
-    if left.num_rows == 0:
-        stats = sum(np.frombuffer(b, np.int64) for b in right.column("counts").to_pylist())
-        row = [-1, [], [], [], b"", b"", [], [], *map(int, stats)]
-        return pa.table([pa.array([v], t) for v, t in zip(row, types)], names=names)
-    row = left.to_pylist()[0]
-    ids, n, part, vocab = _block_of(row)
-    _, _, _, inverse, first = _distinct(ids, n, part, vocab)
-    answers = sorted(zip(right.column("range").to_pylist(), right.column("counts").to_pylist()))
-    both = [_unplanes(_unsqueeze(c), np.uint64).reshape(2, -1) for _, c in answers]
-    ret, rest = np.concatenate(both, axis=1)
-    total = ret + rest
-    size = len(ids)
-    c1, c2 = total[inverse[:size]], total[inverse[size:]]
-    # the deleted documents' tokens under the retained counts
-    gone = np.repeat(part, n) == DELETED
-    r1, r2 = ret[inverse[:size]], ret[inverse[size:]]
-    ctx = np.empty_like(r1)
-    ctx[1:] = r1[:-1]
-    ends = r1[np.cumsum(n) - 1][0]  # the end token's count is the number of documents
-    ctx[first] = ends
-    ctx, r1, r2 = ctx[gone].astype(np.float64), r1[gone].astype(np.float64), r2[gone].astype(np.float64)
-    ratio = _grid(np.where(r2 > 0, r2 / np.maximum(ctx, 1) * 2.0**30, 0), RATIO_LEVELS)
-    cell = (bucket_of(ctx) * RATIO_LEVELS + ratio) * COUNT_LEVELS + _grid(r1, COUNT_LEVELS)
-    cells, cell_n = np.unique(cell, return_counts=True)
-    values = [row["block"], row["doc_id"], row["part"], row["n"], _squeeze(_planes(c1)), _squeeze(_planes(c2)), cells.tolist(), cell_n.tolist(), 0, 0, 0, 0]
-    return pa.table([pa.array([v], t) for v, t in zip(values, types)], names=names)
-
-
-def learn_weights(cell: np.ndarray, count: np.ndarray, n_ret: int, v_ret: int, rounds: int = 60) -> np.ndarray:
-    """EM for one weight triple (bigram, unigram, uniform) per context bucket."""
-    bucket, rest = np.divmod(cell.astype(np.int64), RATIO_LEVELS * COUNT_LEVELS)
-    ratio, c1 = np.divmod(rest, COUNT_LEVELS)
-    f2 = np.where(ratio > 0, np.exp2((ratio - 1) / STEPS - 30), 0.0)
-    f1 = np.where(c1 > 0, np.exp2((c1 - 1) / STEPS), 0.0) / max(n_ret, 1)
-    f0 = np.full(len(f1), 1.0 / (v_ret + 1))
-    parts = np.stack([f2, f1, f0], axis=1)
-    weights = np.tile([0.3, 0.6, 0.1], (BUCKETS, 1))
-    weights[0] = [0.0, 0.9, 0.1]
+    return np.where(values > 0, np.clip(levels - 1 + np.rint(STEPS * np.log2(safe)), 1, levels - 1), 0).astype(np.int64)
+
+
+def _value(level: np.ndarray, levels: int) -> np.ndarray:
+    return np.where(level > 0, np.exp2((level - levels + 1) / STEPS), 0.0)
+
+
+def _attach(order: int, bits: int):
+    """A block and its answers: each order's counts per token; of deleted documents also those of the retained part."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.binary(), pa.binary(), *[pa.int64()] * 4]
+        names = ["block", "doc_id", "part", "n", "counts", "deleted", "v_all", "n_all", "n_ret", "v_ret"]
+        if left.num_rows == 0:
+            stats = sum(np.frombuffer(b, np.int64) for b in right.column("counts").to_pylist())
+            row = [-1, [], [], [], b"", b"", *map(int, stats)]
+            return pa.table([pa.array([v], t) for v, t in zip(row, types)], names=names)
+        row = next(_rows(left))
+        ids, n, part, vocab = _block_of(row)
+        by_range = np.argsort(right.column("range").to_numpy())
+        answers = right.column("counts")
+        gone = np.repeat(part, n) == DELETED
+        counts, deleted, used = [], [], 0
+        for _, hashes, inverse in _distinct(ids, n, vocab, order, bits):
+            some, size = [], 0
+            while size < len(hashes):
+                some.append(_unplanes(_unsqueeze(answers[int(by_range[used])].as_py()), np.uint64).reshape(2, -1))
+                size += some[-1].shape[1]
+                used += 1
+            ret, rest = np.concatenate(some, axis=1)
+            counts.append(_squeeze_counts((ret + rest)[inverse]))
+            deleted.append(_squeeze_counts(ret[inverse[gone]]))
+        values = [row["block"], row["doc_id"], row["part"], row["n"], _join(counts), _join(deleted), 0, 0, 0, 0]
+        return pa.table([pa.array([v], t) for v, t in zip(values, types)], names=names)
+
+    return run
+
+
+def _squeeze_counts(counts: np.ndarray) -> bytes:
+    return _squeeze(_planes(counts))
+
+
+def _join(parts: list[bytes]) -> bytes:
+    """Several byte strings as one, their lengths (8 bytes each) before them."""
+    return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
+
+
+def _counts_of(packed: bytes, order: int) -> list[np.ndarray]:
+    """Each order's counts per token."""
+    sizes = np.frombuffer(packed, np.int64, order)
+    ends = 8 * order + np.cumsum(sizes)
+    return [_unplanes(_unsqueeze(packed[e - s : e]), np.uint64).astype(np.float64) for s, e in zip(sizes.tolist(), ends.tolist())]
+
+
+def _estimates(counts: list[np.ndarray], n: np.ndarray, total: int):
+    """For each order the bucket of the context's count, and the maximum-likelihood estimate."""
+    starts = np.cumsum(n) - n
+    documents = counts[0][starts + n - 1]  # the end token's count is the number of documents
+    for k, c in enumerate(counts):
+        if k == 0:
+            context = np.full(len(c), float(total))
+        else:
+            context = np.empty_like(c)
+            context[1:] = counts[k - 1][:-1]
+            context[starts] = documents
+        yield bucket_of(context), c / np.maximum(context, 1)
+
+
+def _mixed(counts, n, weights: list[np.ndarray], vocabulary: int, total: int) -> np.ndarray:
+    """Probability of each token by the orders that have weights."""
+    p = np.full(len(counts[0]), 1.0 / (vocabulary + 1))
+    for w, (bucket, f) in zip(weights, _estimates(counts, n, total)):
+        p = w[bucket] * f + (1 - w[bucket]) * p
+    return p
+
+
+def _histogram(order: int, weights: list[np.ndarray], v_ret: int, n_ret: int):
+    """Deleted tokens by cell (bucket, estimate, lower orders' probability) of the first order without weights."""
+
+    def run(batches):
+        for batch in batches:
+            for row in _rows(batch):
+                n = np.array(row["n"], np.int64)[np.array(row["part"], np.int8) == DELETED]
+                if not len(n):
+                    continue
+                counts = _counts_of(row["deleted"], order)
+                lower = _mixed(counts, n, weights, v_ret, n_ret)
+                bucket, f = list(_estimates(counts[: len(weights) + 1], n, n_ret))[-1]
+                cell = (bucket * RATIO_LEVELS + _grid(f, RATIO_LEVELS)) * LOWER_LEVELS + _grid(lower, LOWER_LEVELS)
+                cells, tokens = np.unique(cell, return_counts=True)
+                yield pa.record_batch([pa.array(cells), pa.array(tokens.astype(np.int64))], names=["cell", "n"])
+
+    return run
+
+
+def learn_weights(cell: np.ndarray, count: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """EM for one order: per context bucket the weight of its estimate against the lower orders' mixture."""
+    bucket, rest = np.divmod(cell.astype(np.int64), RATIO_LEVELS * LOWER_LEVELS)
+    ratio, low = np.divmod(rest, LOWER_LEVELS)
+    f, p = _value(ratio, RATIO_LEVELS), _value(low, LOWER_LEVELS)
+    tokens = np.bincount(bucket, count, BUCKETS)
+    weights = np.full(BUCKETS, 0.5)
+    weights[0] = 0.0  # a context never seen says nothing
     for _ in range(rounds):
-        joint = parts * weights[bucket]
-        share = joint * (count / np.maximum(joint.sum(axis=1), 1e-300))[:, None]
-        # half a token of the prior keeps rarely seen buckets proper
-        sums = np.stack([np.bincount(bucket, share[:, k], BUCKETS) for k in range(3)], axis=1) + 0.5 * np.array([0.3, 0.6, 0.1])
-        sums[0, 0] = 0.0
-        weights = sums / sums.sum(axis=1, keepdims=True)
+        w = weights[bucket]
+        mine = count * w * f / np.maximum(w * f + (1 - w) * p, 1e-300)
+        # a token divided evenly keeps rarely seen buckets proper
+        weights = (np.bincount(bucket, mine, BUCKETS) + 0.5) / (tokens + 1)
+        weights[0] = 0.0
     return weights
 
 
-def _score_blocks(weights: np.ndarray, v_all: int, n_all: int):
+def _score_blocks(order: int, weights: list[np.ndarray], v_all: int, n_all: int):
     def run(batches):
         for batch in batches:
             for row in _rows(batch):
                 n = np.array(row["n"], np.int64)
-                c1 = _unplanes(_unsqueeze(row["c1"]), np.uint64).astype(np.float64)
-                c2 = _unplanes(_unsqueeze(row["c2"]), np.uint64).astype(np.float64)
+                counts = _counts_of(row["counts"], order)
                 starts = np.cumsum(n) - n
-                ctx = np.empty_like(c1)
-                ctx[1:] = c1[:-1]
-                ctx[starts] = c1[starts + n - 1]
-                w = weights[bucket_of(ctx)]
-                p = w[:, 0] * (c2 / np.maximum(ctx, 1)) + w[:, 1] * (c1 / max(n_all, 1)) + w[:, 2] / (v_all + 1)
-                base = np.log10((c1 + 0.5) / (n_all + 0.5 * (v_all + 1)))
+                p = _mixed(counts, n, weights, v_all, n_all)
+                base = np.log10((counts[0] + 0.5) / (n_all + 0.5 * (v_all + 1)))
                 part = np.array(row["part"], np.int8)
                 yield pa.record_batch(
                     [
                         pa.array(row["doc_id"], pa.int64()),
                         pa.array(part == HELD_OUT),
                         pa.array(n),
-                        pa.array(np.add.reduceat((c1 > 0).astype(np.int64), starts)),
+                        pa.array(np.add.reduceat((counts[0] > 0).astype(np.int64), starts)),
                         pa.array(np.full(len(n), n_all, np.int64)),
                         pa.array(np.add.reduceat(base, starts)),
                         pa.array(np.add.reduceat(np.log10(p), starts)),
@@ -313,11 +369,13 @@ def _score_blocks(weights: np.ndarray, v_all: int, n_all: int):
     return run
 
 
-def score_documents(docs: DataFrame, part=None) -> DataFrame:
+def score_documents(docs: DataFrame, part=None, order: int = ORDER) -> DataFrame:
     """Score every document; ``part`` says 0 retained, 1 deleted, 2 held out (tinyint).
 
     Default part: fold 1 of 5 is held out, fold 4 deleted, the others retained.
     """
+    if order < 1:
+        raise ValueError("order must be at least 1")
     spark = docs.sparkSession
     if part is None:
         five = fold("doc_id", 5)
@@ -328,20 +386,26 @@ def score_documents(docs: DataFrame, part=None) -> DataFrame:
     )
     tokens = blocks.agg(F.sum(F.expr("aggregate(n, 0L, (a, x) -> a + x)"))).first()[0] or 0
     ranges = max(4 * shuffle_partitions(spark), -(-tokens // 2_000_000))
+    bits = min(64, max(40, tokens.bit_length() + HASH_SPARE))
     answers = (
-        blocks.mapInArrow(_items(ranges), ITEM_SCHEMA).groupBy("range").applyInArrow(_count_range, ANSWER_SCHEMA)
+        blocks.mapInArrow(_items(order, bits, ranges), ITEM_SCHEMA).groupBy("range").applyInArrow(_count_range(ranges), ANSWER_SCHEMA)
     )
     counted = materialize(
-        blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_attach, COUNTED_SCHEMA), "lm-counted"
+        blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_attach(order, bits), COUNTED_SCHEMA), "lm-counted"
     )
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    row = counted.filter("block = -1").select("v_all", "n_all", "n_ret", "v_ret").first()
-    v_all, n_all, n_ret, v_ret = row if row else (0, 0, 0, 0)
-    cells = (
-        counted.select(F.explode(F.arrays_zip("cell", "cell_n")).alias("x"))
-        .groupBy(F.col("x.cell").alias("cell"))
-        .agg(F.sum("x.cell_n").alias("n"))
-        .toPandas()
-    )
-    weights = learn_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), n_ret, v_ret)
-    return counted.filter("block >= 0").drop("cell", "cell_n").mapInArrow(_score_blocks(weights, v_all, n_all), SCORE_SCHEMA)
+    sums = counted.filter("block < 0").agg(*(F.sum(c) for c in ("v_all", "n_all", "n_ret", "v_ret"))).first()
+    v_all, n_all, n_ret, v_ret = (x or 0 for x in sums)
+    texts = counted.filter("block >= 0")
+    weights: list[np.ndarray] = []
+    for _ in range(order):
+        cells = (
+            texts.select("part", "n", "deleted")
+            .mapInArrow(_histogram(order, weights, v_ret, n_ret), "cell long, n long")
+            .groupBy("cell")
+            .agg(F.sum("n").alias("n"))
+            .orderBy("cell")
+            .toPandas()
+        )
+        weights.append(learn_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64)))
+    return texts.select("doc_id", "part", "n", "counts").mapInArrow(_score_blocks(order, weights, v_all, n_all), SCORE_SCHEMA)
