@@ -12,7 +12,7 @@ weights with the counts of all training documents.
 Plan.  Documents are packed into blocks (one row holds some megabytes of text
 as word numbers).  Each block sends its *distinct* n-grams of each order, as
 sorted hashes dealt over hash ranges; each range adds up the counts and
-answers each block.  A very frequent n-gram so arrives once per block,
+answers each block with what the other blocks have.  A very frequent n-gram so arrives once per block,
 not once per token, and a range holds total/parts items whatever the skew.
 Words have 64-bit hashes; those of longer n-grams are cut to ``HASH_SPARE``
 bits more than the number of tokens has, so one n-gram in 2 ** HASH_SPARE at
@@ -39,14 +39,14 @@ from pyspark.sql import functions as F
 
 from ravelgrid.llm.common import fold, id_and_text, materialize, materialize_bucketed, shuffle_partitions
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 BUCKETS = 24
 STEPS = 4  # grid steps per factor of two
 RATIO_LEVELS = 30 * STEPS + 2
 LOWER_LEVELS = 60 * STEPS + 2
 CELLS = BUCKETS * RATIO_LEVELS * LOWER_LEVELS
 ORDER = 3
-HASH_SPARE = 20
+HASH_SPARE = 16
 TOTALS = 4096  # groups that the ranges' totals are dealt to
 RETAINED, DELETED, HELD_OUT = 0, 1, 2
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -106,7 +106,7 @@ def _encode_blocks(batches):
                     pa.array([ids[start:at]], pa.list_(pa.int64())),
                     pa.array([parts[start:at]], pa.list_(pa.int8())),
                     pa.array([ns], pa.list_(pa.int32())),
-                    pa.array([_squeeze(_planes(np.concatenate(seqs)))], pa.binary()),
+                    pa.array([_squeeze(_planes(np.concatenate(seqs)), 3)], pa.binary()),
                     pa.array([vocab.tobytes()], pa.binary()),
                 ],
                 names=["block", "doc_id", "part", "n", "ids", "vocab"],
@@ -154,6 +154,11 @@ def _rows(batch):
         yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
+def _own_counts(inverse: np.ndarray, tok_part: np.ndarray, size: int) -> list[np.ndarray]:
+    """A block's own counts of its n-grams in the retained and in the deleted part."""
+    return [np.bincount(inverse[tok_part == p], minlength=size).astype(np.uint32) for p in (RETAINED, DELETED)]
+
+
 def _items(order: int, bits: int, ranges: int):
     def run(batches):
         for batch in batches:
@@ -161,7 +166,7 @@ def _items(order: int, bits: int, ranges: int):
                 ids, n, part, vocab = _block_of(row)
                 tok_part = np.repeat(part, n)
                 for k, hashes, inverse in _distinct(ids, n, vocab, order, bits):
-                    kept, gone = (np.bincount(inverse[tok_part == p], minlength=len(hashes)).astype(np.uint32) for p in (RETAINED, DELETED))
+                    kept, gone = _own_counts(inverse, tok_part, len(hashes))
                     out = []
                     for r, lo, hi in _runs(hashes, ranges, 64 if k == 1 else bits):
                         gaps = np.diff(hashes[lo:hi], prepend=np.uint64(0))
@@ -175,10 +180,10 @@ def _items(order: int, bits: int, ranges: int):
     return run
 
 
-def _squeeze(b: bytes) -> bytes:
+def _squeeze(b: bytes, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b)
+    return zstandard.ZstdCompressor(level=level).compress(b)
 
 
 def _unsqueeze(b: bytes) -> bytes:
@@ -203,10 +208,10 @@ def _count_range(ranges: int):
         ret = np.bincount(inverse, np.concatenate(kept), size).astype(np.uint64)
         rest = np.bincount(inverse, np.concatenate(gone), size).astype(np.uint64)
         out, at = [], 0
-        for h in hashes:
-            mine = inverse[at : at + len(h)]
-            out.append(_squeeze(_planes(np.concatenate([ret[mine], rest[mine]]))))
-            at += len(h)
+        for k, g in zip(kept, gone):
+            mine = inverse[at : at + len(k)]
+            out.append(_squeeze(_planes(np.concatenate([ret[mine] - k, rest[mine] - g]))))
+            at += len(k)
         if rng < ranges:  # words: their numbers and tokens
             stats = np.array([np.sum(ret + rest > 0), (ret + rest).sum(), ret.sum(), np.sum(ret > 0)], np.int64)
             blocks.append(-1 - rng % TOTALS)
@@ -252,7 +257,8 @@ def _attach(order: int, bits: int):
         ids, n, part, vocab = _block_of(row)
         by_range = np.argsort(right.column("range").to_numpy())
         answers = right.column("counts")
-        gone = np.repeat(part, n) == DELETED
+        tok_part = np.repeat(part, n)
+        gone = tok_part == DELETED
         counts, deleted, used = [], [], 0
         for _, hashes, inverse in _distinct(ids, n, vocab, order, bits):
             some, size = [], 0
@@ -260,19 +266,15 @@ def _attach(order: int, bits: int):
                 some.append(_unplanes(_unsqueeze(answers[int(by_range[used])].as_py()), np.uint64).reshape(2, -1))
                 size += some[-1].shape[1]
                 used += 1
-            ret, rest = np.concatenate(some, axis=1)
-            counts.append(_squeeze_counts((ret + rest)[inverse]))
-            deleted.append(_squeeze_counts(ret[inverse[gone]]))
+            ret, rest = np.concatenate(some, axis=1) + np.stack(_own_counts(inverse, tok_part, size))
+            counts.append(_squeeze(_planes((ret + rest)[inverse]), 3))
+            deleted.append(_squeeze(_planes(ret[inverse[gone]]), 3))
         values = [row["block"], row["doc_id"], row["part"], row["n"], _join(counts), _join(deleted), 0, 0, 0, 0]
         return pa.table([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
     return run
 
 
-def _squeeze_counts(counts: np.ndarray) -> bytes:
-    return _squeeze(_planes(counts))
-
-
 def _join(parts: list[bytes]) -> bytes:
     """Several byte strings as one, their lengths (8 bytes each) before them."""
     return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
