@@ -118,3 +118,24 @@ def test_clashing_columns_and_fingerprints(spark):
     assert (near_copies.wide_fingerprint(MinHasher().hashes(b"")) == 0).all()
     h = MinHasher().hashes(b" ".join(b"%d" % i for i in range(9000)))
     assert (near_copies.wide_fingerprint(h) == near_copies.wide_fingerprint(h[::-1])).all()
+
+
+def test_large_buckets_of_equal_segments_come_out_once():
+    """Six nodes with one segment, one that differs in the bit of the second wildcard: no pair, two large buckets."""
+    import pyarrow as pa
+
+    words = np.zeros((7, near_copies.WORDS), np.uint64)
+    words[6, 0] = 2
+    # the other segments differ too much for any bucket
+    words[:, 1:] = np.random.default_rng(1).integers(0, 2**63, (7, near_copies.WORDS - 1))
+    words[:, 0] |= np.arange(7, dtype=np.uint64) * np.uint64(0x1010101 << 32)
+    columns = [pa.array(np.arange(7) * 2), *(pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(near_copies.WORDS))]
+    (index,) = near_copies._variants(16)([pa.record_batch(columns, names=["node", *near_copies._W])])
+    rows = sorted(r for r in zip(*(c.to_pylist() for c in index.columns)) if r[0] >> 37 == 0)  # the first segment
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows)], names=["key", "node"])
+    got = [r for b in near_copies._pairs(4)([batch]) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert {r[1] for r in got} == {None}
+    by = defaultdict(set)
+    for node, _, key in got:
+        by[key >> 32 & 31].add(node)
+    assert by == {0: {0, 2, 4, 6, 8, 10}, 1: {0, 2, 4, 6, 8, 10, 12}}
