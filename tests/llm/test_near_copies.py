@@ -85,6 +85,66 @@ def test_components_equal_brute_force(spark, dense, width):
     assert {frozenset(v) for v in got.values()} == want and len(want) > 6
 
 
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("crowd, part", [(16, 2048), (3, 7)])
+def test_groups_are_those_of_the_exact_jaccard_index(spark, monkeypatch, crowd, part):
+    """Every pair from 0.8 on is linked and no other: short texts, parts of texts, a common passage and one large group too."""
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    monkeypatch.setattr(near_copies, "PART", part)
+    rng = random.Random(6)
+
+    def some(n):
+        return [rng.choice(VOCABULARY) for _ in range(n)]
+
+    texts = [None, "", " \t", "one", "one two", "one two three four five"]
+    for n in (8, 9, 12, 40, 120, 300):
+        for _ in range(14):
+            base = some(n)
+            texts += [" ".join(x) for x in (base, edited(rng, base, rng.uniform(0.1, 0.2)), edited(rng, edited(rng, base, 0.1), 0.1))]
+            texts += [" ".join(base[: round(n * rng.uniform(0.78, 0.9))]), " ".join(base + some(max(1, round(n * rng.uniform(0.15, 0.3)))))]
+    passage, hot = some(60), some(140)
+    texts += [" ".join(passage + some(rng.choice((8, 14, 20)))) for _ in range(60)]
+    texts += [" ".join(edited(rng, hot, rng.uniform(0.02, 0.25))) for _ in range(80)]
+    sets = [shingle_set(t or "") for t in texts]
+    want = components(list(range(len(texts))), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    got = defaultdict(set)
+    for r in near_copies.groups(C.frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect():
+        got[r.rep].add(r.doc_id)
+    assert {frozenset(v) for v in got.values()} == want
+
+
+def test_candidates_hold_every_alike_pair_without_fingerprints(spark, monkeypatch):
+    """With nothing known from fingerprints, at exactly 0.8 too, in buckets of either form."""
+    rng = random.Random(7)
+    base = [rng.choice(VOCABULARY) for _ in range(49)]
+    # 45 shingles: cut by 9 they are 36 of 45, exactly 0.8; cut by 10 they are fewer
+    texts = [" ".join(base), " ".join(base[9:]), " ".join(base[10:])]
+    base = [rng.choice(VOCABULARY) for _ in range(90)]
+    texts += [" ".join(edited(rng, base, rng.uniform(0.05, 0.2))) for _ in range(60)]
+    hasher = MinHasher(shingle=5)
+    none = (np.empty(0, np.uint64), np.empty(0, np.int64))
+    sets = [np.unique(hasher.hashes(t.encode())) for t in texts]
+    rows = []
+    for h in sets:
+        node = near_copies.node_of(h)
+        bits = [int(v) for v in near_copies.parity_bitmap(h).view(np.int64)]
+        rows.append((node, node, len(h), near_copies.prefix(h, 0.8, none).astype(np.uint32).tobytes(), *bits))
+    schema = "node long, rep long, size int, prefix binary, " + ", ".join(f"{p} long" for p in near_copies._P)
+    nodes = spark.createDataFrame(rows, schema)
+    by = {r[0]: set(h.tolist()) for r, h in zip(rows, sets)}
+    want = {(a, b) for a in by for b in by if a < b and len(by[a] & by[b]) / len(by[a] | by[b]) >= 0.8}
+    assert tuple(sorted((rows[0][0], rows[1][0]))) in want and tuple(sorted((rows[0][0], rows[2][0]))) not in want
+    for crowd, part in ((16, 2048), (100, 2048), (3, 9)):
+        monkeypatch.setattr(near_copies, "CROWD", crowd)
+        monkeypatch.setattr(near_copies, "PART", part)
+        got = {(r.a, r.b) for r in near_copies.candidates(nodes, 0.8).collect()}
+        assert want <= got and len(got) < len(by) * (len(by) - 1) / 2
+
+
 def test_one_row_of_each_group(spark):
     df = C.frame(spark, clashing=True)
     got = near_copies.one_of_each(df)
