@@ -199,3 +199,39 @@ def test_large_buckets_of_equal_segments_come_out_once():
     for node, _, key in got:
         by[key >> 32 & 31].add(node)
     assert by == {0: {0, 2, 4, 6, 8, 10}, 1: {0, 2, 4, 6, 8, 10, 12}}
+
+
+def test_batches_are_made_in_slices():
+    """What a task makes of one Arrow batch comes out in parts of SLICE rows, the same as of the whole."""
+    import pyarrow as pa
+
+    n, none = 2 * near_copies.SLICE + 7, (np.empty(0, np.uint64), np.empty(0, np.int64))
+    texts = [" ".join(VOCABULARY[i : i + 30]) for i in range(n)]
+    ids = pa.array(range(0, 2 * n, 2), pa.int64())
+    docs = pa.record_batch([ids, ids, ids, pa.array(texts)], names=["doc_id", "h1", "h2", "text"])
+    prints = list(near_copies._fingerprints(5, 0.8, none)([docs]))
+    assert [b.num_rows for b in prints] == [near_copies.SLICE, near_copies.SLICE, 7]
+    hasher = MinHasher(shingle=5)
+    assert [v for b in prints for v in b.column("node").to_pylist()] == [near_copies.node_of(np.unique(hasher.hashes(t.encode()))) for t in texts]
+    sets = list(near_copies._sets(5, "items")([pa.record_batch([ids, pa.array(texts)], names=["node", "text"])]))
+    assert [b.num_rows for b in sets] == [near_copies.SLICE, near_copies.SLICE, 7]
+    assert [v for b in sets for v in b.column("node").to_pylist()] == ids.to_pylist()
+    nodes = pa.record_batch([ids, *(ids for _ in near_copies._W)], names=["node", *near_copies._W])
+    assert max(b.num_rows for b in near_copies._variants(26)([nodes])) == near_copies.SLICE * near_copies.SEGMENTS * 26
+
+
+def test_further_links_join_the_graph(spark):
+    """Links of old groups, of an old group and a new node, and of new nodes; a graph without nodes too."""
+    from ravelgrid.llm.components import connected
+
+    def frame(pairs):
+        return spark.createDataFrame(pairs, "a long, b long")
+
+    old, new = [(1, 2), (2, 3), (4, 5), (6, 7)], [(3, 4), (7, 8), (9, 10), (10, 11)]
+    for first, then in ((old, new), ([], new), (old, [])):
+        got = defaultdict(set)
+        for r in near_copies.with_links(connected(frame(first)), frame(then)).collect():
+            got[r.rep].add(r.node)
+        links = {frozenset(p) for p in first + then}
+        nodes = sorted({n for p in links for n in p})
+        assert {frozenset(v) for v in got.values()} == components(nodes, lambda a, b: frozenset((a, b)) in links)
