@@ -235,3 +235,66 @@ def test_further_links_join_the_graph(spark):
         links = {frozenset(p) for p in first + then}
         nodes = sorted({n for p in links for n in p})
         assert {frozenset(v) for v in got.values()} == components(nodes, lambda a, b: frozenset((a, b)) in links)
+
+
+def set_rows(texts):
+    """(node, rep, size, prefix, wide, parity bitmap) and set of each text, every one a group of its own; nothing is frequent."""
+    hasher, none = MinHasher(shingle=5), (np.empty(0, np.uint64), np.empty(0, np.int64))
+    sets = [np.unique(hasher.hashes(t.encode())) for t in texts]
+    rows = []
+    for h in sets:
+        wide, bits = ([int(v) for v in x.view(np.int64)] for x in (near_copies.wide_bitmap(h), near_copies.parity_bitmap(h)))
+        rows.append((near_copies.node_of(h), near_copies.node_of(h), len(h), near_copies.prefix(h, 0.8, none).astype(np.uint32).tobytes(), wide, *bits))
+    return rows, sets
+
+
+SET_SCHEMA = "node long, rep long, size int, prefix binary, wide array<long>, " + ", ".join(f"{p} long" for p in near_copies._P)
+
+
+@pytest.mark.parametrize("words", [40, 400])
+@pytest.mark.parametrize("part, shingles", [(2048, 1 << 20), (40, 1 << 20), (2048, 20_000)])
+def test_large_buckets_give_links_in_proportion_to_their_rows(spark, monkeypatch, words, part, shingles):
+    """Copies that fingerprints left apart: no step of a large bucket makes more rows than it is dealt, and all groups are found."""
+    monkeypatch.setattr(near_copies, "PART", part)
+    monkeypatch.setattr(near_copies, "SHINGLES", shingles)
+    rng = random.Random(8)
+    base = [rng.choice(VOCABULARY) for _ in range(words)]
+    apart = base[: words // 2] + [rng.choice(VOCABULARY) for _ in range(words // 2)]  # shares too little with the others
+    texts = [" ".join(edited(rng, x, rng.uniform(0.02, 0.12))) for x in (base, apart) for _ in range(90)]
+    rows, sets = set_rows(texts)
+    nodes = spark.createDataFrame(rows, SET_SCHEMA)
+    for name in ("_open", "_first_met", "_forest"):
+        def counted(similarity, of=getattr(near_copies, name)):
+            def run(table):
+                out = of(similarity)(table)
+                assert out.num_rows <= table.num_rows  # fails in the task, and with it the job
+                return out
+
+            return run
+
+        monkeypatch.setattr(near_copies, name, counted)
+    few, crowds = near_copies.meetings(nodes, 0.8)
+    kept = near_copies.materialize(near_copies.first_met(crowds, nodes, 0.8), "kept")
+    items = spark.createDataFrame([(r[0], h.view(np.int64).tolist()) for r, h in zip(rows, sets)], "node long, items array<long>")
+    links = [(r.a, r.b) for r in near_copies.alike_in_crowds(kept, items, 0.8).collect()]
+    by = {r[0]: set(h.tolist()) for r, h in zip(rows, sets)}
+
+    def within(a, b):
+        return len(by[a] & by[b]) / len(by[a] | by[b]) >= 0.8
+
+    assert links and all(within(a, b) for a, b in links)
+    every = sum(within(a, b) for a in by for b in by if a < b)
+    assert len(links) < every / 3
+    known = {frozenset(p) for p in links} | {frozenset((r.a, r.b)) for r in few.collect() if within(r.a, r.b)}
+    assert components(sorted(by), lambda a, b: frozenset((a, b)) in known) == components(sorted(by), within)
+
+
+def test_a_pair_is_kept_under_its_first_common_shingle_only(spark):
+    rng = random.Random(12)
+    base = [rng.choice(VOCABULARY) for _ in range(300)]
+    rows, _ = set_rows([" ".join(base + [rng.choice(VOCABULARY)]) for _ in range(30)])
+    nodes = spark.createDataFrame(rows, SET_SCHEMA)
+    _, crowds = near_copies.meetings(nodes, 0.8)
+    kept = near_copies.first_met(crowds, nodes, 0.8)
+    assert crowds.count() > 30 * 25  # under every shingle whose place leaves room for the overlap
+    assert kept.select("a").distinct().count() == 30 and kept.count() < 100
